@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import cooccurrence, dupes, frequency, tokens
+from sparkloom.llm import clusters, cooccurrence, dupes, encode, frequency, packing, tokens
 from sparkloom.session import materialise
 from sparkloom.sources import load
 
@@ -40,6 +40,26 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n", F.round("lift", 6).alias("lift"))
 
 
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of customers by recency (units of 80 days), log frequency and log monetary value; one row per customer."""
+    raw = load(spark, folder, "olist_train_data").select("customer_id", "recency", "frequency", "monetary_value")
+    one = raw.groupBy("customer_id").agg(F.min(F.struct("recency", "frequency", "monetary_value")).alias("r")).select("customer_id", "r.*")
+    recency = F.when((F.col("recency") >= 0) & (F.col("recency") != 9999), F.col("recency") / 80.0)
+    logs = [F.when(F.col(c) > 0, F.ln(F.col(c))) for c in ("frequency", "monetary_value")]
+    return clusters.cluster(one, "customer_id", [recency, *logs])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = materialise(_customers(spark, folder).filter("cluster is not null").select("id", "cluster"), "clusters")
+    pairs = load(spark, folder, "cluster_probe").select(F.least("left_customer_id", "right_customer_id").alias("a"), F.greatest("left_customer_id", "right_customer_id").alias("b")).distinct()
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(found.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b")
+    return both.filter("ca = cb").select(F.col("a").alias("customer_id_a"), F.col("b").alias("customer_id_b"))
+
+
+def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.describe(materialise(_customers(spark, folder), "clusters"))
+
+
 QUESTION_FIELDS = {"Title": "text", "Body": "text"}
 
 
@@ -52,6 +72,22 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return dupes.collapse_duplicates(load(spark, folder, "questions"), "Id", QUESTION_FIELDS)
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encode_texts(load(spark, folder, "documents"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(encode.token_counts(load(spark, folder, "documents")), load(spark, folder, "token_budgets"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).select(F.col("budget").alias("budget_name"), "container", F.col("id").alias("doc_id"), "piece", "tokens")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, folder)).withColumnRenamed("budget", "budget_name")
+
+
 _TAG_SQL = r"""
 raw AS (
   SELECT Id, lower(replace(replace(replace(replace(replace(Tags, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS t
@@ -80,7 +116,7 @@ measured AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
 
 
 def oracle_sql() -> dict[str, str]:
