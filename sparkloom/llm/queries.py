@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import clusters, cooccurrence, dupes, encode, frequency, packing, tokens
+from sparkloom.llm import abuse, clusters, cooccurrence, dupes, encode, frequency, packing, tokens
 from sparkloom.session import materialise
 from sparkloom.sources import load
 
@@ -88,6 +88,23 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(_packed(spark, folder)).withColumnRenamed("budget", "budget_name")
 
 
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = load(spark, folder, "documents")
+    return abuse.score_documents(documents, abuse.learn(documents, load(spark, folder, "doc_labels")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).filter("toxic").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates_by_source(load(spark, folder, "documents"), _scored(spark, folder))
+
+
 _TAG_SQL = r"""
 raw AS (
   SELECT Id, lower(replace(replace(replace(replace(replace(Tags, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS t
@@ -116,7 +133,7 @@ measured AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
+    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
