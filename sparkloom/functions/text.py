@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
@@ -9,6 +10,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,7 +27,7 @@ def tokenize(text: Column, lower: bool = False) -> Column:
     return F.filter(F.split(F.trim(spaced), r"\s+"), lambda t: t != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _treebank(texts: pd.Series) -> pd.Series:
     word = regex.compile(r"\.\.\.|--|``|''|[\p{L}\p{N}]+(?=n't\b)|n't\b|'(?:s|m|d|re|ve|ll)\b|[\p{L}\p{N}_]+(?:[-.,'/@+][\p{L}\p{N}_]+)*|\p{P}|\p{S}", regex.I)
     return texts.map(lambda t: None if t is None else word.findall(t))
@@ -38,7 +40,7 @@ def tokenize_words(text: Column, lower: bool = False) -> Column:
 
 def drop_digits(tokens: Column) -> Column:
     """Digits taken out of tokens; tokens that become blank are dropped."""
-    return F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "")), lambda t: F.regexp_replace(t, r"(?U)\s", "") != "")
+    return F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "")), lambda t: F.regexp_replace(t, r"[\s\p{Z}\x0b\x85\x1c-\x1f]", "") != "")
 
 
 def drop_single_letters(tokens: Column, compat: bool = False) -> Column:
@@ -69,27 +71,60 @@ def drop_duplicate_tokens(tokens: Column, keep: str | bool = "first") -> Column:
     """keep "first": one of each; keep False: every token that occurs more than once is dropped altogether."""
     if keep is False:
         ordered = F.array_sort(tokens)
-        again = F.filter(ordered, lambda t, i: F.coalesce(t == F.try_element_at(ordered, F.greatest(i, F.lit(1))), F.lit(False)) & (i > 0))
+        n = F.greatest(F.size(tokens) - 1, F.lit(0))
+        again = F.zip_with(F.slice(ordered, F.lit(1), n), F.slice(ordered, F.lit(2), n), lambda a, b: F.when(a == b, a))  # equal neighbours
         return F.array_except(tokens, again)  # by hash; what is left occurs once, so the set keeps all of it in order
     return F.array_distinct(tokens)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of two strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def _per_list(function: Callable[[list[str]], list[str]]):
+    """A function of one token list as an Arrow-batched column function; null stays null."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ts: None if ts is None else function(list(ts)))
+
+    return run
+
+
 def drop_similar_words(tokens: Column, threshold: float = 0.5) -> Column:
     """Tokens that have another one (at another position) with an edit similarity above the threshold are dropped."""
 
-    def near(t: Column, i: Column) -> Column:
-        others = F.filter(tokens, lambda u, j: (i != j) & (1 - F.levenshtein(t, u) / F.greatest(F.length(t), F.length(u), F.lit(1)) > threshold))
-        return F.size(others) == 0
+    def keep(ts: list[str]) -> list[str]:
+        counts = Counter(ts)
+        words = list(counts)
+        near = {w for w, n in counts.items() if n > 1 and threshold < 1}
+        for i, a in enumerate(words):
+            for b in words[i + 1 :]:
+                longest = max(len(a), len(b), 1)
+                if 1 - abs(len(a) - len(b)) / longest > threshold and 1 - edit_distance(a, b) / longest > threshold:
+                    near |= {a, b}
+        return [t for t in ts if t not in near]
 
-    return F.filter(tokens, near)
+    return _per_list(keep)(tokens)
 
 
 def drop_most_common(tokens: Column, n: int | float) -> Column:
     """The n (or that share of all tokens) most frequent tokens of a list dropped, ties by token, when it has more than 10."""
-    counted = F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.size(F.filter(tokens, lambda u: u == t))).alias("m"), t.alias("t")))
-    limit = F.lit(n) if isinstance(n, int) else F.floor(F.size(tokens) * n).cast("int")
-    common = F.transform(F.slice(F.array_sort(counted), F.lit(1), F.greatest(limit, F.lit(0))), lambda s: s["t"])
-    return F.when(F.size(tokens) > 10, F.filter(tokens, lambda t: ~F.array_contains(common, t))).otherwise(tokens)
+
+    def keep(ts: list[str]) -> list[str]:
+        if len(ts) <= 10:
+            return ts
+        top = n if isinstance(n, int) else int(n * len(ts))
+        common = {w for w, _ in sorted(Counter(ts).items(), key=lambda x: (-x[1], x[0]))[:top]}
+        return [t for t in ts if t not in common]
+
+    return _per_list(keep)(tokens)
 
 
 def keep_lengths(tokens: Column, low: int, high: int, domain: Iterable[str] = ()) -> Column:
@@ -114,8 +149,10 @@ def window_of(tokens: Column, words: Iterable[str]) -> Column:
     words = list(words)
     positions = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(words), i)), lambda p: p.isNotNull())
     n = F.size(positions)
-    total = F.aggregate(F.transform(positions, lambda p, i: p.cast("double") * (2 * i - n + 1)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n > 1, total / (n * (n - 1) / 2))
+    # sum of (2 i - n + 1) p_i, with n kept out of the lambda, where it would be computed again for every element
+    plain = F.aggregate(positions, F.lit(0.0), lambda a, p: a + p)
+    ranked = F.aggregate(F.transform(positions, lambda p, i: p.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n > 1, (2 * ranked - (n - 1) * plain) / (n * (n - 1) / 2))
 
 
 def mean_length(tokens: Column) -> Column:
@@ -136,7 +173,7 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 

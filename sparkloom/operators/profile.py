@@ -7,8 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy()
-
 
 def measures(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """column, count, mean, std (n - 1), min, q1, median, q3 (exact, linear), max of numeric columns in one pass."""
@@ -109,7 +107,7 @@ def value_counts(df: DataFrame, column: str, precision: int = 1, top: int | None
 def frequency_count(df: DataFrame, key: str, frequency: str, precision: int = 3) -> DataFrame:
     """frequency, keys (distinct), percent of all keys."""
     counts = df.groupBy(frequency).agg(F.countDistinct(key).alias("keys"))
-    return counts.withColumn("percent", F.round(F.col("keys") * 100.0 / F.sum("keys").over(ALL), precision))  # one row per frequency
+    return counts.withColumn("percent", F.round(F.col("keys") * 100.0 / F.sum("keys").over(Window.partitionBy()), precision))  # one row per frequency
 
 
 def sum_ratio(df: DataFrame, by: str, a: str, b: str, precision: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ def _joined(name: str, expression: str, source: str = _TOKENS) -> str:
     return f"SELECT doc_id, array_to_string({expression}, ' ') AS {name} FROM ({source})"
 
 
-@query("filter_digits", _joined("tokens", "[x for x in [regexp_replace(y, '[\\p{Nd}²³¹⁰⁴-⁹₀-₉]', '', 'g') for y in t] if trim(x) <> '']"))
+@query("filter_digits", _joined("tokens", "[x for x in [regexp_replace(y, '[\\p{Nd}²³¹⁰⁴-⁹₀-₉]', '', 'g') for y in t] if regexp_replace(x, '[\\s\\p{Z}\\x0b\\x{85}\\x1c-\\x1f]', '', 'g') <> '']"))
 def filter_digits(spark, d):
     return _tokens(spark, d).select("doc_id", F.array_join(text.drop_digits(F.col("t")), " ").alias("tokens"))
 
