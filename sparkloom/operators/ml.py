@@ -82,7 +82,8 @@ def stability(df: DataFrame, k: int, seeds: Iterable[int] = range(5)) -> list[tu
 
 def hierarchical(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> DataFrame:
     """A cut of a hierarchy at scale: bisecting k-means with k leaves (exact Ward linkage is for small frames, see ward)."""
-    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df).transform(df)
+    kept = df.persist()  # read once per split
+    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(kept).transform(kept)
 
 
 def ward(points: np.ndarray, clusters: int) -> np.ndarray:
