@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SKETCH = 256
 CHANGES = "file_id long, series_id long, change string, old_field string, new_field string"
-_NUMBER = re.compile(r"\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*[A-Za-z][\w/ ]*\s*\Z|\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*\Z")
+_NUMBER = re.compile(r"\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*(?=.{1,7}\s*\Z)[A-Za-z][\w/]*(?: [A-Za-z][\w/]*)?\s*\Z|\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*\Z")
 _WORDS = re.compile(r"[a-z]+|-?\d+(?:\.\d+)?")
 
 
@@ -50,16 +50,18 @@ def fields_of(lines: DataFrame, record: str = "record") -> DataFrame:
 
 
 def number_in(text: str) -> float | None:
-    """The number a value holds, alone, with a unit, or as the only number of an object; else None."""
+    """The number a value holds: alone, with a unit, or in an object beside nothing but a unit; else None."""
     match = _NUMBER.match(text)
     if match:
         return float(match.group(1) or match.group(2))
     if text.startswith("{"):
         try:
-            numbers = [v for v in json.loads(text).values() if isinstance(v, int | float) and not isinstance(v, bool)]
+            values = list(json.loads(text).values())
         except (ValueError, AttributeError):
             return None
-        if len(numbers) == 1:
+        numbers = [v for v in values if isinstance(v, int | float) and not isinstance(v, bool)]
+        units = [v for v in values if isinstance(v, str) and len(v) <= 12 and not re.search(r"\d\s*$", v)]
+        if len(numbers) == 1 and len(numbers) + len(units) == len(values) <= 2:
             return float(numbers[0])
     return None
 

@@ -82,8 +82,9 @@ def stability(df: DataFrame, k: int, seeds: Iterable[int] = range(5)) -> list[tu
 
 def hierarchical(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> DataFrame:
     """A cut of a hierarchy at scale: bisecting k-means with k leaves (exact Ward linkage is for small frames, see ward)."""
-    kept = df.persist()  # read once per split
-    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(kept).transform(kept)
+    # the library's first split moves a centre by a share of its length, so centred data would never be split: distances do not change when all points are moved
+    moved = df.withColumn("_moved", array_to_vector(F.transform(vector_to_array(features), lambda x: x + 10.0))).persist()
+    return BisectingKMeans(k=k, seed=seed, featuresCol="_moved", predictionCol="cluster").fit(moved).transform(moved).drop("_moved")
 
 
 def ward(points: np.ndarray, clusters: int) -> np.ndarray:

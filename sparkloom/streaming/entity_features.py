@@ -23,6 +23,7 @@ from sparkloom.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NO_ENTITY = ("", "n/a")
+DELTA = "entity string, kind string, n long, last timestamp_ntz, cents long"
 
 
 def clean_events(events: DataFrame, until: str, entity: str = "customer_id", kind: str = "event_type", at: str = "order_purchase_date", amount: str = "monetary_value", event: str = "event_id") -> DataFrame:
@@ -37,6 +38,11 @@ def clean_events(events: DataFrame, until: str, entity: str = "customer_id", kin
     return picked.filter(F.col("event").isNotNull() & ~F.col("entity").isin(*NO_ENTITY) & F.col("kind").isNotNull() & (F.col("at") < F.lit(until).cast("timestamp_ntz")))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _source(spark: SparkSession, path: str) -> tuple[str, int]:
     """(path as the file stream takes it, bytes below it). A single file must be given to a stream as a pattern."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +63,8 @@ def update_features(spark: SparkSession, source: str, table: str, checkpoint: st
     stream_spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stream_spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     stream_spark.conf.set("spark.sql.streaming.minBatchesToRetain", "1")
+    if not _exists(spark, table):  # so that the table can be read even if no file has come yet
+        spark.createDataFrame([], DELTA).write.parquet(f"{table}/batch=-1")
     path, size = _source(spark, source)
     events = stream_spark.readStream.schema(spark.read.parquet(source).schema).option("maxBytesPerTrigger", max(1, -(-size // batches))).parquet(path)
     once = clean(events).dropDuplicates(["event"])
@@ -71,7 +79,7 @@ def update_features(spark: SparkSession, source: str, table: str, checkpoint: st
 
 def current_features(spark: SparkSession, table: str) -> DataFrame:
     """entity, kind, n, last, cents: the newest values of each key."""
-    deltas = spark.read.schema("entity string, kind string, n long, last timestamp_ntz, cents long, batch int").parquet(table)
+    deltas = spark.read.schema(f"{DELTA}, batch int").parquet(table)
     # one exchange on the entity serves both this grouping and the one by entity that follows
     newest = deltas.repartition("entity").groupBy("entity", "kind").agg(F.max(F.struct("batch", "n", "last", "cents")).alias("v"))
     return newest.select("entity", "kind", "v.n", "v.last", "v.cents")
