@@ -69,16 +69,16 @@ def _pack(level: int, last: bool, nearly: float, carry: int):
         first = flat.field("id").to_numpy()[offsets[:-1]]
         piece = flat.field("piece").to_numpy()[offsets[:-1]]
         order = np.lexsort((piece, first))
-        place = np.empty(len(sizes), np.int64)
-        place[order], fill = best_fit(sizes[order], capacity)
+        sizes, starts, lengths = sizes[order], offsets[:-1][order], np.diff(offsets)[order]
+        place, fill = best_fit(sizes, capacity)
         smallest = int(sizes.min())
         final = np.full(len(fill), last) | (fill >= nearly * capacity) | (fill + smallest > capacity)
         waiting = np.flatnonzero(~final)
         if len(waiting) > carry:
             final[waiting[np.argsort(fill[waiting], kind="stable")[carry:]]] = True
         by_bin = np.argsort(place, kind="stable")
-        lengths = np.diff(offsets)[by_bin]
-        index = np.repeat(offsets[:-1][by_bin], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        starts, lengths = starts[by_bin], lengths[by_bin]
+        index = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         counts = np.bincount(place[by_bin], lengths, len(fill)).astype(np.int64)
         n = len(fill)
         return pa.table(
