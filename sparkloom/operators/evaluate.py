@@ -120,6 +120,8 @@ def dummy_classification(train: DataFrame, test: DataFrame, label: str, strategy
     if strategy == "most_frequent":
         guess = counts.agg(F.min_by("_g", F.struct((-F.col("_n")).alias("m"), F.col("_g"))).alias("_g"))
         return accuracy(test.join(F.broadcast(guess)), label, "_g")
+    if counts.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 classes")
     w = Window.orderBy("_g")  # one row per class
     weight = F.col("_n") if strategy == "stratified" else F.lit(1)
     upto = counts.withColumn("_w", weight.cast("double")).withColumn("_hi", F.sum("_w").over(w) / F.sum("_w").over(Window.partitionBy())).withColumn("_lo", F.col("_hi") - F.col("_w") / F.sum("_w").over(Window.partitionBy()))

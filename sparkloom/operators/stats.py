@@ -104,7 +104,7 @@ def chi2_cells(df: DataFrame, x: str, y: str) -> DataFrame:
     columns = cells.groupBy("y").agg(F.sum("n").alias("ny"))
     total = cells.agg(F.sum("n").alias("t"))
     # the full table of categories: as many rows as the result has
-    grid = rows.join(F.broadcast(columns)).join(cells, ["x", "y"], "left").join(F.broadcast(total))
+    grid = rows.crossJoin(columns).join(cells, ["x", "y"], "left").join(F.broadcast(total))  # total is one row
     n, e = F.coalesce("n", F.lit(0)), F.col("nx") * F.col("ny") / F.col("t")
     return grid.select("x", "y", n.alias("n"), e.alias("expected"), ((n - e) * (n - e) / e).alias("contribution"))
 

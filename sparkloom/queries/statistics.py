@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evaluate, ml, scale, stats
+from sparkloom.operators import evaluate, ml, scale, stats, supervised
 from sparkloom.registry import Registry
 from sparkloom.sources import load
 
@@ -283,4 +283,67 @@ def text_vectorizer(spark, d):
     return ml.tfidf(df, "t", min_df=5, vocabulary=2000)[1].select("Id", F.round(F.sqrt(norm), 6).alias("norm"))
 
 
+@query("multi_label_binarizer", "SELECT doc_id, array_to_string([(CASE WHEN c IN (source, domain) THEN 1 ELSE 0 END) for c in ['building', 'polling', 'review']], '') AS marks FROM documents")
+def multi_label_binarizer(spark, d):
+    marks = supervised.binarise(F.array(F.coalesce("source", F.lit("")), F.coalesce("domain", F.lit(""))), ["review", "building", "polling"])
+    return load(spark, d, "documents").select("doc_id", F.array_join(F.transform(marks, lambda m: m.cast("string")), "").alias("marks"))
+
+
+@query(
+    "target_results",
+    """WITH a AS (SELECT l_returnflag AS k, round(avg(l_tax), 6) AS s FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag AS k, round(avg(l_discount), 6) AS s FROM lineitem GROUP BY 1)
+    SELECT k, a.s AS s_include, b.s AS s_exclude, round((a.s - b.s) * 100.0 / b.s, 2) AS s_change FROM a JOIN b USING (k)""",
+)
+def target_results(spark, d):
+    lines = load(spark, d, "lineitem")
+    a, b = (lines.groupBy(F.col("l_returnflag").alias("k")).agg(F.round(F.avg(c), 6).alias("s")) for c in ("l_tax", "l_discount"))
+    return supervised.compare_results(a, b, "k", ["s"])
+
+
+@query("highlight_segment_update", "SELECT o_custkey, date_diff('month', min(o_orderdate), max(o_orderdate))::INT AS months, CASE WHEN date_diff('month', min(o_orderdate), max(o_orderdate)) < 10 THEN 'short' WHEN date_diff('month', min(o_orderdate), max(o_orderdate)) < 16 THEN 'medium' ELSE 'long' END AS lifetime FROM orders GROUP BY 1")
+def highlight_segment_update(spark, d):
+    a, b = F.min("o_orderdate"), F.max("o_orderdate")
+    months = ((F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)).cast("int")
+    return load(spark, d, "orders").groupBy("o_custkey").agg(months.alias("months")).withColumn("lifetime", supervised.lifetime_bucket(F.col("months")))
+
+
+@query("residue_normality_test")
+def residue_normality_test(spark, d):
+    r = supervised.normality(load(spark, d, "customer"), "c_acctbal")
+    return spark.createDataFrame([(r["statistic"], r["p"])], "statistic double, p double")
+
+
+def _energy(spark, d):
+    df = load(spark, d, "benchmarking_2016").dropDuplicates(["OSEBuildingID"]).select("OSEBuildingID", "PropertyGFATotal", "NumberofFloors", "YearBuilt", F.log1p("`SiteEnergyUse(kBtu)`").alias("target"))
+    return ml.assemble(df.na.drop().withColumn("PropertyGFATotal", F.log1p("PropertyGFATotal")), ["PropertyGFATotal", "NumberofFloors", "YearBuilt"])
+
+
+@query("train_gridsearch")
+def train_gridsearch(spark, d):
+    estimator = supervised.REGRESSORS["elastic_net"]("target", 42)
+    _, points, _ = ml.grid_search(_energy(spark, d).cache(), estimator, {"regParam": [0.01, 0.1]}, ml.regression_evaluator("target"), folds=3)
+    return spark.createDataFrame([(p["regParam"], s) for p, s in points], "regParam double, rmse double")
+
+
+@query("plot_learning_curve")
+def plot_learning_curve(spark, d):
+    estimator = supervised.REGRESSORS["elastic_net"]("target", 42)
+    out = ml.learning_curve(_energy(spark, d).cache(), estimator, ml.regression_evaluator("target"), "OSEBuildingID", (0.5, 1.0))
+    return spark.createDataFrame(out, "share double, train double, test double")
+
+
+@query("filter_features_by_threshold")
+def filter_features_by_threshold(spark, d):
+    model = supervised.fit(_energy(spark, d), "random_forest_regressor", "target")
+    kept = ml.select_by_importance(["PropertyGFATotal", "NumberofFloors", "YearBuilt"], model.featureImportances.toArray())
+    return spark.createDataFrame([(k,) for k in kept], "feature string")
+
+
+@query("segment_classifier")
+def segment_classifier(spark, d):
+    parts = ml.kmeans(ml.assemble(_parts(spark, d), _RFM).cache(), 4)[1].withColumn("label", F.col("cluster").cast("double")).cache()
+    model = supervised.fit(parts, "random_forest", "label")
+    return evaluate.accuracy(model.transform(parts), "label", "prediction")
+
+
 queries, oracle_sql = query.queries, query.oracle_sql
