@@ -131,11 +131,11 @@ def duplicate_groups(rows: DataFrame, id_col: str, fields: dict[str, str]) -> Da
     return materialise(marks.join(groups, ["h1", "h2"]).select("id", "rep", "copies"), "members")
 
 
-def verify_groups(rows: DataFrame, members: DataFrame, id_col: str, fields: dict[str, str], salts: int = 32) -> DataFrame:
+def verify_groups(rows: DataFrame, members: DataFrame, id_col: str, fields: dict[str, str], per_salt: int = 10_000) -> DataFrame:
     """id, rep, same: every member but the first compared with its group's first row by field equality.
 
     Texts are read again for members only. Members join their own text on their id; the texts of the first
-    rows go to ``salts`` salted copies, so no task takes a whole hot group.
+    rows go to one salted copy per ``per_salt`` members, so no task takes a whole hot group.
     """
     columns, kinds = list(fields), list(fields.values())
     n = len(columns)
@@ -143,8 +143,7 @@ def verify_groups(rows: DataFrame, members: DataFrame, id_col: str, fields: dict
     raw = raw.join(members.select("id"), "id", "left_semi")
     first = raw.groupBy("id").agg(F.min(F.struct(*[f"f{i}" for i in range(n)])).alias("t")).select("id", "t.*")
     own = first.join(members, "id")
-    # big groups only are salted: copies of a first row = min(salts, members / 64 + 1)
-    spread = F.least(F.lit(salts), (F.col("copies") / 64).cast("int") + 1)
+    spread = F.floor(F.col("copies") / per_salt) + 1
     salted = own.withColumn("salt", F.pmod(F.col("id"), spread.cast("long")))
     reps = own.filter("id = rep").select("rep", F.explode(F.sequence(F.lit(0).cast("long"), (spread - 1).cast("long"))).alias("salt"), *[F.col(f"f{i}").alias(f"r{i}") for i in range(n)])
     pairs = salted.filter("id <> rep").join(reps, ["rep", "salt"])

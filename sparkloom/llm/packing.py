@@ -22,6 +22,7 @@ PER_TASK = 50_000
 FAN = 8
 CARRY = 20_000
 NEARLY = 0.995
+MOST_BUDGETS = 1000
 
 _MEMBERS = "array<struct<id: bigint, piece: int, tokens: bigint>>"
 _ARROW_MEMBERS = pa.list_(pa.field("element", pa.struct([("id", pa.int64()), ("piece", pa.int32()), ("tokens", pa.int64())])))
@@ -105,8 +106,13 @@ def pack(items: DataFrame, budgets: DataFrame, id_col: str = "doc_id", size_col:
     """
     clean = materialise(items.select(F.col(id_col).cast("long").alias("id"), F.col(size_col).cast("long").alias("size")).filter("id is not null and size >= 0"), "items")
     parts = max(1, -(-clean.count() // per_task))
-    small = budgets.select(F.col("budget_name").alias("budget"), F.col("capacity_tokens").cast("long").alias("capacity")).filter("budget is not null and capacity > 0").distinct()
-    each = clean.crossJoin(F.broadcast(small))  # every item goes to every budget: budgets are a short list of capacities
+    chosen = budgets.select("budget_name", "capacity_tokens").filter("budget_name is not null and capacity_tokens > 0").distinct().limit(MOST_BUDGETS + 1).collect()
+    if len(chosen) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+    each_budget = F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(c).cast("long").alias("capacity")) for b, c in sorted(map(tuple, chosen))])
+    if not chosen:
+        each_budget = F.array().cast("array<struct<budget: string, capacity: bigint>>")
+    each = clean.select("id", "size", F.explode(each_budget).alias("b")).select("id", "size", "b.*")  # every item goes to every budget
     pieces = F.when(F.col("size") > F.col("capacity"), F.ceil(F.col("size") / F.col("capacity")).cast("int")).otherwise(1)
     split = each.select("budget", "capacity", "id", "size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     tokens = F.least(F.col("capacity"), F.col("size") - F.col("piece") * F.col("capacity"))

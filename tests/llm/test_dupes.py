@@ -56,6 +56,10 @@ def test_hot_group(spark):
     rows = [(i, f"Title{'!' * (i % 5)}", "BODY" if i % 2 else "body") for i in range(1, 400)] + [(i, f"t{i}", "b") for i in range(400, 500)]
     got = {tuple(r) for r in dupes.hidden_duplicates(make(spark, rows), "Id", FIELDS).collect()}
     assert got == {(i, 1) for i in range(2, 400)}
+    df = make(spark, rows)
+    members = dupes.duplicate_groups(df, "Id", FIELDS)
+    salted = dupes.verify_groups(df, members, "Id", FIELDS, per_salt=7)
+    assert {(r.id, r.rep) for r in salted.filter("same").collect()} == got
 
 
 def test_equals_brute_force(spark):
