@@ -208,7 +208,7 @@ def grid_search(df: DataFrame, estimator, grid: dict, evaluator, folds: int = 10
     model = CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism).fit(df)
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
     best = (max if evaluator.isLargerBetter() else min)(model.avgMetrics)
-    return model.bestModel, list(zip(points, model.avgMetrics)), best
+    return model.bestModel, [(p, float(m)) for p, m in zip(points, model.avgMetrics)], float(best)
 
 
 def learning_curve(df: DataFrame, estimator, evaluator, key: str, sizes: Iterable[float] = (0.1, 0.25, 0.5, 1.0), seed: int = 42) -> list[tuple[float, float, float]]:
