@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import materialise
+
 WIDE = 256  # items from which a record is split into item blocks
 ITEM_BLOCKS = 16
 DENSE = 256  # columns of a dense item block
@@ -167,9 +169,10 @@ def pair_counts(entries: DataFrame, record: str = "record", item: str = "item",
     # per record and item block first: no list ever holds more than one block of a record
     lists = rows.groupBy("record", "block").agg(F.collect_list("item").alias("items"))
     whole = lists.groupBy("record").agg(F.sum(F.size("items")).alias("size"), F.flatten(F.collect_list(F.when(F.size("items") <= wide, F.col("items")))).alias("items"))
-    narrow = whole.filter((F.col("size") <= wide) & (F.col("size") > 1)).select("items").mapInArrow(_gram, PAIR_SCHEMA)
+    whole = materialise(whole.filter("size > 1"), "baskets")  # read by both branches
+    narrow = whole.filter(F.col("size") <= wide).select("items").mapInArrow(_gram, PAIR_SCHEMA)
     broad = whole.filter(F.col("size") > wide).select("record")
-    parts = lists.join(broad, "record", "left_semi")
+    parts = materialise(lists.join(broad, "record", "left_semi"), "blocks")
     same = parts.select("items").mapInArrow(_gram, PAIR_SCHEMA)
     left = parts.select("record", F.col("block").alias("a"), F.col("items").alias("left"))
     right = parts.select("record", F.col("block").alias("b"), F.col("items").alias("right"))
@@ -191,7 +194,7 @@ def pair_association(entries: DataFrame, min_count: int = 1, min_lift: float | N
     ``min_lift`` the comparison is made on whole numbers: n * total >= min_lift * n_a * n_b. An empty input
     and records with one item give no pairs.
     """
-    support = entries.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
+    support = materialise(entries.groupBy("item").agg(F.count(F.lit(1)).alias("support")), "support")  # read three times
     total = entries.select("record").distinct().agg(F.count(F.lit(1)).alias("total"))
     kept = entries
     if min_count > 1:
