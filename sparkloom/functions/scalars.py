@@ -86,12 +86,21 @@ def replace_words(text: Column, translator: Mapping[str, str]) -> Column:
 ACCENTS = {"àáâãäåā": "a", "çćč": "c", "èéêëēė": "e", "ìíîïī": "i", "ñń": "n", "òóôõöøō": "o", "šś": "s", "ùúûüū": "u", "ýÿ": "y", "žź": "z"}
 
 
+#: Ligatures and what they are written out.
+LIGATURES = (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss"))
+
+
+def accent_map() -> dict[str, str]:
+    """Each accented letter, small and capital, and its plain one."""
+    plain = {c: base for group, base in ACCENTS.items() for c in group}
+    return plain | {c.upper(): base.upper() for c, base in plain.items() if len(c.upper()) == 1}
+
+
 def strip_accents(text: Column, lower: bool = False) -> Column:
     """Latin letters without accents; ligatures written out."""
-    plain = {c: base for group, base in ACCENTS.items() for c in group}
-    plain |= {c.upper(): base.upper() for c, base in plain.items() if len(c.upper()) == 1}
+    plain = accent_map()
     out = F.translate(text, "".join(plain), "".join(plain.values()))
-    for a, b in (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss")):
+    for a, b in LIGATURES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.lower(out) if lower else out
 

@@ -155,10 +155,14 @@ def property_use_count(spark, d):
     return load(spark, d, "benchmarking_2015").filter("ListOfAllPropertyUseTypes is not null").select("OSEBuildingID", F.size(F.split("ListOfAllPropertyUseTypes", ", ")).alias("uses"))
 
 
-@query("normalize_encoding", "SELECT doc_id, strip_accents(text) = text AS plain FROM documents WHERE regexp_full_match(text, '[ -~éèêàâçùîôûëïüñãõáíóúÉÀÇ\\n]*')")
+_PLAIN = f"translate(text, '{''.join(scalars.accent_map())}', '{''.join(scalars.accent_map().values())}')"
+for _a, _b in scalars.LIGATURES:
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+
+
+@query("normalize_encoding", f"SELECT doc_id, {_PLAIN} AS text FROM documents")
 def normalize_encoding(spark, d):
-    df = load(spark, d, "documents").filter(F.col("text").rlike(r"^[ -~éèêàâçùîôûëïüñãõáíóúÉÀÇ\n]*\z"))
-    return df.select("doc_id", (scalars.strip_accents(F.col("text")) == F.col("text")).alias("plain"))
+    return load(spark, d, "documents").select("doc_id", scalars.strip_accents(F.col("text")).alias("text"))
 
 
 @query("replace_characters", "SELECT doc_id, translate(text, 'aeiou', '43102') AS text FROM documents")
