@@ -212,12 +212,19 @@ def _ratio(a: str, b: str) -> int:
     return round(100 * SequenceMatcher(None, a, b, autojunk=False).ratio()) if a or b else 0
 
 
+def _word_set(text: str) -> frozenset[str]:
+    return frozenset(regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split())
+
+
 def token_set_ratio(a: str | None, b: str | None) -> int:
     """Likeness of two texts as word sets, 0 to 100: the best of common words, common and own words, compared with each other."""
-    x, y = ({*regex.sub(r"[^\p{L}\p{N}]+", " ", (t or "").lower()).split()} for t in (a, b))
+    x, y = _word_set(a or ""), _word_set(b or "")
     if not x or not y:
         return 0
-    both = " ".join(sorted(x & y))
+    common = x & y
+    if common and (common == x or common == y):
+        return 100  # the common words equal one side
+    both = " ".join(sorted(common))
     left, right = (f"{both} {' '.join(sorted(s))}".strip() for s in (x - y, y - x))
     return max(_ratio(both, left) if both else 0, _ratio(both, right) if both else 0, _ratio(left, right))
 

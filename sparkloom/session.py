@@ -58,9 +58,3 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a path on whatever file system it names; missing paths are fine."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
