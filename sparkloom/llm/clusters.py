@@ -7,9 +7,10 @@ radius inside the task; a node starts from its principal axis and is refined by
 balls, so groups of any shape are chains of leaves: leaves whose centres are within the link distance belong together.
 Gaps between groups are wider than the link distance, or there would be no clear gap.
 
-Bounds: a node lighter than ``min_share`` of all points is never split, so there are at most
-2 / min_share nodes, whatever the number of rows: the tree fits the driver and every task, and a pass returns one row
-per open node and task. Rows are only ever read in passes; nothing per row reaches the driver.
+Bounds: whether a leaf is dense does not depend on the number of rows, so a group is found in a large table as in a small
+one. The tree is bounded by the space the points take: leaves stop at the compactness limit, so their number is about that of
+the balls of that radius that hold points, and never more than rows / ``min_count`` nodes are split in one level. It is held by
+the driver and every task, and a pass returns one row per open node and task. Rows are only ever read in passes.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Tree:
 
 def _pass(df: DataFrame, tree: Tree, wanted: set, dims: int) -> dict[int, tuple]:
     """node -> (count, mean, covariance, farthest squared distance from the node's centre) of the wanted nodes."""
-    shipped = df.sparkSession.sparkContext.broadcast((tree.centre, tree.left, tree.right))  # at most 2 / min_share nodes
+    shipped = df.sparkSession.sparkContext.broadcast((tree.centre, tree.left, tree.right))  # the nodes of the tree, no rows
     keep = np.array(sorted(wanted))
     width = 2 + dims + dims * dims
 
@@ -92,34 +93,34 @@ def _runs(sorted_codes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(edges[:-1], edges[1:])
 
 
-def bisect(points: DataFrame, radius: float, min_share: float = 2e-5, min_count: int = 4, lloyd: int = 2, max_levels: int = 64) -> tuple[Tree, dict[int, tuple]]:
+def bisect(points: DataFrame, radius: float, min_count: int = 4, lloyd: int = 2, max_levels: int = 64) -> tuple[Tree, dict[int, tuple]]:
     """(tree, statistics of its leaves) of bisecting k-means over all columns of ``points`` (doubles, no nulls).
 
     A node is split while its farthest point is more than ``radius`` from its centre and it holds at least
-    max(min_count, min_share of all points). An empty input gives a tree of one empty leaf.
+    ``min_count`` points. An empty input gives a tree of one empty leaf.
     """
     dims = len(points.columns)
     tree = Tree(np.zeros((1, dims)), np.array([-1]), np.array([-1]))
     stats = _pass(points, tree, {0}, dims)
     if 0 not in stats:
         return tree, {}
-    total = stats[0][0]
-    floor = max(min_count, min_share * total)
     tree.centre[0] = stats[0][1]
     stats |= _pass(points, tree, {0}, dims)
     for _ in range(max_levels):
-        split = [n for n, (count, _, _, far) in stats.items() if tree.left[n] < 0 and n not in tree.closed and far > radius * radius and count >= floor]
+        split = [n for n, (count, _, _, far) in stats.items() if tree.left[n] < 0 and n not in tree.closed and far > radius * radius and count >= min_count]
         if not split:
             break
         split.sort(key=lambda n: -np.trace(stats[n][2]) * stats[n][0])  # the largest dispersion first
+        at, halves = len(tree.left), []
+        tree.left, tree.right = (np.r_[side, np.full(2 * len(split), -1)] for side in (tree.left, tree.right))
         for n in split:
-            count, mean, cov, _ = stats[n]
+            _, mean, cov, _ = stats[n]
             values, axes = np.linalg.eigh(cov)
             step = axes[:, -1] * np.sqrt(max(values[-1], 1e-18)) * 0.8
-            at = len(tree.left)
-            tree.centre = np.vstack([tree.centre, mean - step, mean + step])
-            tree.left, tree.right = np.r_[tree.left, -1, -1], np.r_[tree.right, -1, -1]
+            halves += [mean - step, mean + step]
             tree.left[n], tree.right[n] = at, at + 1
+            at += 2
+        tree.centre = np.vstack([tree.centre, *halves])
         young = {int(c) for n in split for c in (tree.left[n], tree.right[n])}
         for step in range(lloyd):
             found = _pass(points, tree, young, dims)
@@ -158,17 +159,19 @@ def link_leaves(centres: np.ndarray, weights: np.ndarray, link: float) -> np.nda
             for j in np.array(near)[((centres[near] - centres[i]) ** 2).sum(1) <= link * link]:
                 root[find(i)] = find(int(j))
     roots = np.array([find(i) for i in range(n)])
-    heavy = sorted(set(roots), key=lambda r: (-weights[roots == r].sum(), r))
+    heavy = np.flatnonzero(np.bincount(roots, minlength=n))
+    sums = np.bincount(roots, weights, n)
+    heavy = sorted(heavy.tolist(), key=lambda r: (-sums[r], r))
     number = {r: k for k, r in enumerate(heavy)}
     return np.array([number[r] for r in roots])
 
 
-def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float = 0.15, link: float = 0.6, min_share: float = 2e-5, min_count: int = 4, min_cluster: int = 10) -> DataFrame:
+def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float = 0.15, link: float = 0.6, min_count: int = 4, min_cluster: int = 10) -> DataFrame:
     """id, cluster, leaf, distance of every row; cluster is null for isolated rows.
 
     ``features`` are columns on comparable scales in which clusters are separated by gaps wider than ``link``.
     Rows with a null or NaN feature or a null id are left out (clean impossible values to null first). A leaf with
-    fewer than max(min_count, min_share of all) rows is sparse; rows of sparse leaves belong to the cluster of a dense
+    fewer than ``min_count`` rows is sparse; rows of sparse leaves belong to the cluster of a dense
     leaf within ``link`` of them, else they are isolated. Components of fewer than ``min_cluster`` rows are no cluster.
     distance is to the centre of the row's leaf. Equal rows get equal clusters; an empty input gives no rows.
     """
@@ -177,17 +180,15 @@ def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float
     for n in names:
         data = data.withColumn(n, F.when(F.abs(F.col(n)) < float("inf"), F.nanvl(F.col(n), F.lit(None).cast("double"))))
     data = data.na.drop("any").persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks are computed again
-    tree, leaves = bisect(data.select(*names), radius, min_share, min_count)
+    tree, leaves = bisect(data.select(*names), radius, min_count)
     schema = f"id {dict(data.dtypes)['id']}, cluster int, leaf int, distance double"
     if not leaves:
         return data.sparkSession.createDataFrame([], schema)
-    total = sum(s[0] for s in leaves.values())
-    floor = max(min_count, min_share * total)
-    dense = [n for n, s in leaves.items() if s[0] >= floor]
+    dense = [n for n, s in leaves.items() if s[0] >= min_count]
     centres = np.array([leaves[n][1] for n in dense]).reshape(-1, len(names))
     weights = np.array([leaves[n][0] for n in dense])
     groups = link_leaves(centres, weights, link) if dense else np.zeros(0, int)
-    small = {g for g in set(groups) if weights[groups == g].sum() < min_cluster}
+    small = set(np.flatnonzero(np.bincount(groups, weights) < min_cluster).tolist()) if dense else set()
     of_leaf = np.full(len(tree.left), -1, np.int64)
     for n, g in zip(dense, groups):
         of_leaf[n] = -1 if g in small else g
@@ -198,15 +199,20 @@ def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *nodes, of_leaf, is_dense, centres, of_centre = model.value
         tree = Tree(*nodes)
+        cells: dict[tuple, list[int]] = {}  # only centres of the cells around a point can be within the link distance
+        for i, cell in enumerate(map(tuple, np.floor(centres / link).astype(np.int64))):
+            cells.setdefault(cell, []).append(i)
+        around = np.stack(np.meshgrid(*[(-1, 0, 1)] * len(names)), -1).reshape(-1, len(names))
         for batch in batches:
             points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]) if batch.num_rows else np.zeros((0, len(names)))
             leaf = tree.assign(points)
             found = of_leaf[leaf]
             distance = np.sqrt(((points - tree.centre[leaf]) ** 2).sum(1))
             for i in np.flatnonzero(~is_dense[leaf]) if len(centres) else ():
-                d = ((centres - points[i]) ** 2).sum(1)
-                if d.min() <= link * link:
-                    found[i] = of_centre[d.argmin()]
+                near = sorted(j for cell in map(tuple, np.floor(points[i] / link).astype(np.int64) + around) for j in cells.get(cell, ()))
+                d = ((centres[near] - points[i]) ** 2).sum(1)
+                if near and d.min() <= link * link:
+                    found[i] = of_centre[near[d.argmin()]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32(), mask=found < 0), pa.array(leaf, pa.int32()), pa.array(distance)], ["id", "cluster", "leaf", "distance"])
 
     return data.mapInArrow(run, schema)

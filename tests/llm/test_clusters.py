@@ -55,3 +55,12 @@ def test_describe(spark):
     out = clusters.describe(clusters.cluster(frame(spark, ring + inner + band), "id", [F.col("a"), F.col("b"), F.col("c")]), typical=2)
     assert sorted(r["size"] for r in out.collect()) == [300, 500, 600]
     assert all(len(r.members) == 2 for r in out.collect())
+
+
+def test_small_group_in_a_large_table(spark):
+    many = spark.range(600_000).select(F.col("id").cast("string"), *[F.lit(0.0).alias(c) for c in "abc"])
+    rng = np.random.default_rng(3)
+    few = [(f"f{i}", tuple(map(float, p))) for i, p in enumerate(rng.normal(3, 0.02, (11, 3)))]
+    rows = many.unionByName(frame(spark, few).select("id", "a", "b", "c"))
+    got = {r.id: r.cluster for r in clusters.cluster(rows, "id", [F.col("a"), F.col("b"), F.col("c")]).filter("id like 'f%'").collect()}
+    assert set(got.values()) == {1} and len(got) == 11
