@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -229,6 +230,45 @@ def token_set_ratio(a: str | None, b: str | None) -> int:
     return max(_ratio(both, left) if both else 0, _ratio(both, right) if both else 0, _ratio(left, right))
 
 
+def token_set_bounds(known: list[str]) -> Callable[[str], np.ndarray]:
+    """A function of a text: per known text a score that ``token_set_ratio`` does not exceed, without comparing sequences.
+
+    Matched letters are at most the common letters of both (counted), and the common words are the start of either side.
+    """
+    sets = [_word_set(b) for b in known]
+    lengths = np.array([sum(map(len, s)) + max(0, len(s) - 1) for s in sets], float)
+    sizes = np.array([len(s) for s in sets])
+    letters = {c: i for i, c in enumerate(sorted({c for s in sets for w in s for c in w} | {" "}))}
+    holders: dict[str, list[int]] = {}
+    counts = np.zeros((len(known), len(letters)), np.int32)
+    for i, s in enumerate(sets):
+        for w in s:
+            holders.setdefault(w, []).append(i)
+        for c in " ".join(s):
+            counts[i, letters[c]] += 1
+
+    def bounds(a: str) -> np.ndarray:
+        words = _word_set(a)
+        mine = np.zeros(len(letters), np.int32)
+        for c in " ".join(words):
+            if c in letters:
+                mine[letters[c]] += 1
+        length = sum(map(len, words)) + max(0, len(words) - 1)
+        shared, joined = np.zeros(len(known), int), np.zeros(len(known))
+        for w in words:
+            at = holders.get(w, [])
+            shared[at] += 1
+            joined[at] += len(w)
+        joined += np.maximum(0, shared - 1)
+        share = 2 * np.minimum(counts, mine).sum(1) / np.maximum(1, length + lengths)
+        start = 2 * joined / np.maximum(1, joined + np.minimum(length, lengths))
+        most = np.floor(100 * np.maximum(share, start) + 0.5 + 1e-6)
+        most[(shared > 0) & ((shared == len(words)) | (shared == sizes))] = 100
+        return most
+
+    return bounds
+
+
 def similarity_column(score: Callable[[str | None, str | None], float], kind: str = "int"):
     """A two-argument Python scorer as a column function (Arrow batches)."""
 

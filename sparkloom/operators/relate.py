@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import strip_accents
-from sparkloom.functions.text import similarity_column, token_set_ratio
+from sparkloom.functions.text import token_set_bounds, token_set_ratio
 
 
 def merge_chain(base: DataFrame, steps: Iterable[tuple[DataFrame, str | list[str], str]]) -> DataFrame:
@@ -47,49 +49,62 @@ def street_key(column: Column) -> Column:
     return F.trim(F.regexp_replace(strip_accents(column, lower=True), r"[^0-9a-z]+", " "))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, column: str, other: str, gram: int = 3) -> DataFrame:
-    """Candidate pairs of distinct texts that share a word of the key or, for single words, a run of letters.
+def best_known(left: DataFrame, right: DataFrame, column: str, other: str, n: int = 5, scorer=token_set_ratio, block: int = 2_000, rows: int = 500) -> DataFrame:
+    """a, b, score, rank: the n best known texts of each distinct text, ties by text. Every known text is scored.
 
-    Blocking: texts meet on their words of at least ``gram`` letters, and on the first letters of each word, so pairs are an equi
-    join, never all against all. Very frequent words (street, avenue) are no evidence alone: a key that more than a hundredth
-    of the known names (and more than 50) have is used only with the word that follows it.
+    Both sides are packed into blocks of distinct texts (``rows`` of one, ``block`` of the other) that meet pairwise; a task
+    scores a pair of blocks and keeps n per text, so nothing but n rows per text and block is shuffled. For ``token_set_ratio``
+    the known texts of a block are taken by falling upper bound of their score until none can be among the n best; for any other
+    scorer there is no bound and all are scored. The work is the product of the two numbers of distinct texts either way.
     """
-    a = left.select(F.col(column).alias("a")).distinct().filter("a is not null")
-    b = right.select(F.col(other).alias("b")).distinct().filter("b is not null")
 
-    def keys(text: Column) -> Column:
-        words = F.filter(F.split(street_key(text), " "), lambda w: F.length(w) >= gram)
-        pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.coalesce(F.try_element_at(words, i + 2), F.lit("$"))))
-        return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.lit("^"), F.left(w, F.lit(gram)), F.lit("~"), F.length(w).cast("string"))), pairs))
-
-    ka = a.select("a", F.explode(keys(F.col("a"))).alias("k"))
-    kb = b.select("b", F.explode(keys(F.col("b"))).alias("k"))
-    weight = kb.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("t"))))  # one row
-    usual = weight.filter(~((F.col("n") > 50) & (F.col("n") > F.col("t") / 100)) | F.col("k").contains(" ")).select("k")
-    return ka.join(kb.join(usual, "k", "left_semi"), "k").select("a", "b").distinct()
+    def packed(df: DataFrame, name: str, column: str, size: int) -> DataFrame:
+        texts = df.select(F.col(column).alias("t")).distinct().filter("t is not null")
+        count = texts.count()
+        return texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(max(1, -(-count // size)))).alias("_k")).agg(F.sort_array(F.collect_list("t")).alias(name)).drop("_k")
+
+    pairs = packed(left, "a", column, rows).crossJoin(packed(right, "b", other, block))
+    pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    bounded = scorer is token_set_ratio
+
+    def run(batches):
+        for batch in batches:
+            for texts, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = []
+                bounds = token_set_bounds(known) if bounded else None
+                for a in texts:
+                    most = bounds(a) if bounded else np.full(len(known), np.inf)
+                    best: list[tuple] = []
+                    for i in np.argsort(-most, kind="stable"):
+                        if len(best) == n and most[i] < -best[-1][0]:
+                            break  # no text from here on can be among the n best
+                        best = sorted([*best, (-scorer(a, known[i]), known[i])])[:n]
+                    out += [(a, b, -s) for s, b in best]
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], ["a", "b", "score"])
+
+    scored = pairs.mapInArrow(run, "a string, b string, score int")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= n)
 
 
 def fuzzy_matching(left: DataFrame, right: DataFrame, column: str, other: str, quality: int = 88, scorer=token_set_ratio) -> DataFrame:
     """a, b, score: for each text that no known one equals, its best known text (ties the smallest).
 
-    A match is taken when the last word of the text is in the candidate or the score reaches ``quality``. The scorer
+    Every known text is a candidate. A match is taken when the last word of the text is in the candidate or the score reaches ``quality``. The scorer
     is any Python function of two texts.
     """
     a = left.select(F.col(column).alias("_t")).distinct()
     exact = right.select(F.col(other).alias("_k")).distinct()
     open_ones = a.join(exact, F.col("_t") == F.col("_k"), "left_anti").filter("_t is not null")
-    score = similarity_column(scorer)
-    scored = fuzzy_pairs(open_ones, right, "_t", other).withColumn("score", score("a", "b"))
-    best = scored.groupBy("a").agg(F.min_by(F.struct("b", "score"), F.struct((-F.col("score")).alias("s"), F.col("b"))).alias("m")).select("a", "m.b", "m.score")
+    best = best_known(open_ones, right, "_t", other, 1, scorer).drop("rank")
     last = F.element_at(F.split(street_key(F.col("a")), " "), -1)
     return best.filter((F.col("score") >= quality) | F.array_contains(F.split(street_key(F.col("b")), " "), last))
 
 
 def top_candidates(left: DataFrame, right: DataFrame, column: str, other: str, n: int = 5, scorer=token_set_ratio) -> DataFrame:
     """a, b, score, rank: the n best known texts of each text, ties by text."""
-    score = similarity_column(scorer)
-    scored = fuzzy_pairs(left, right, column, other).withColumn("score", score("a", "b"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= n)
+    return best_known(left, right, column, other, n, scorer)
 
 
 def expand_ranges(ranges: DataFrame, last_number: int = 9999, open_end: int = 2000) -> DataFrame:

@@ -248,3 +248,17 @@ def test_csv_folder(spark, tmp_path):
     assert concat_files(spark, str(tmp_path), last=1).columns == ["a", "c"]
     with pytest.raises(FileNotFoundError):
         find_csv("none", str(tmp_path))
+
+
+def test_every_known_text_is_a_candidate(spark):
+    from sparkloom.functions.text import token_set_bounds, token_set_ratio
+
+    rng = np.random.default_rng(2)
+    words = ["main", "oak", "hill", "street", "st", "ave", "pine", "1st", "lake", "elm", "north", "mainn"]
+    known = sorted({" ".join(rng.choice(words, rng.integers(1, 4))) for _ in range(300)} | {f"{i} Main St" for i in range(120)})
+    asked = ["main street", "Main Stret", "zzz", "", "oak hil", "7 Main Street"]
+    for a in asked:
+        assert all(m >= token_set_ratio(a, b) for m, b in zip(token_set_bounds(known)(a), known))
+    left, right = spark.createDataFrame([(a,) for a in asked], "s string"), spark.createDataFrame([(b,) for b in known], "t string")
+    want = {(a, b, -s, r) for a in asked for r, (s, b) in enumerate(sorted((-token_set_ratio(a, b), b) for b in known)[:5], 1)}
+    assert {tuple(r) for r in relate.top_candidates(left, right, "s", "t").collect()} == want
