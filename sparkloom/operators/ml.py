@@ -245,5 +245,20 @@ def rbf_gram(df: DataFrame, key: str, features: str, gamma: float, landmarks: Da
     return df.select(key, features).join(F.broadcast(other)).select(key, "other", F.exp(-gamma * square).alias("k"))
 
 
+def rbf_kernel(df: DataFrame, key: str, features: str, gamma: float, block: int = 512) -> DataFrame:
+    """key, other, k = exp(-gamma |x - y|^2) of all rows with all rows; rows with null features are left out.
+
+    Rows are packed into blocks of about ``block``; blocks meet pairwise, one pair at a time in a task, so no task holds more than
+    two blocks. The result has the square of the number of rows.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x")).filter("x is not null")
+    count = max(1, -(-rows.count() // block))
+    packed = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(count)).alias("b")).agg(F.collect_list(F.struct("key", "x")).alias("r"))
+    pairs = packed.select(F.col("r").alias("l")).crossJoin(packed.select(F.col("r").alias("m"))).repartition(count)
+    both = pairs.select(F.explode("l").alias("p"), "m").select("p", F.explode("m").alias("q"))
+    square = F.aggregate(F.zip_with("p.x", "q.x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return both.select(F.col("p.key").alias(key), F.col("q.key").alias("other"), F.exp(-gamma * square).alias("k"))
+
+
 def regression_evaluator(label: str, metric: str = "rmse") -> RegressionEvaluator:
     return RegressionEvaluator(labelCol=label, metricName=metric)

@@ -82,7 +82,7 @@ def roc_decision_rule(spark, d):
 @query("gram_matrix")
 def gram_matrix(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return ml.rbf_gram(df, "vec_id", "embedding", 0.5, df.orderBy("vec_id").limit(20)).select("vec_id", "other", F.round("k", 9).alias("k"))
+    return ml.rbf_kernel(df, "vec_id", "embedding", 0.5).select("vec_id", "other", F.round("k", 9).alias("k"))
 
 
 @query("autotag_question", "SELECT vec_id, concat_ws(' ', CASE WHEN embedding[1] > 0.5 THEN 'A' END, CASE WHEN embedding[2] > 0.5 THEN 'B' END, CASE WHEN embedding[3] > 0.5 THEN 'C' END) AS tags FROM embeddings")

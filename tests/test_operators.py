@@ -262,3 +262,11 @@ def test_every_known_text_is_a_candidate(spark):
     left, right = spark.createDataFrame([(a,) for a in asked], "s string"), spark.createDataFrame([(b,) for b in known], "t string")
     want = {(a, b, -s, r) for a in asked for r, (s, b) in enumerate(sorted((-token_set_ratio(a, b), b) for b in known)[:5], 1)}
     assert {tuple(r) for r in relate.top_candidates(left, right, "s", "t").collect()} == want
+
+
+def test_kernel_has_every_pair(spark):
+    x = {i: [float(i), i * 0.5] for i in range(50)}
+    df = spark.createDataFrame(list(x.items()), "id int, v array<double>")
+    rows = ml.rbf_kernel(df, "id", "v", 0.1, block=8).collect()
+    assert len(rows) == 2500
+    assert all(r.k == pytest.approx(np.exp(-0.1 * sum((a - b) ** 2 for a, b in zip(x[r.id], x[r.other])))) for r in rows)
