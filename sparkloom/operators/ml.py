@@ -134,6 +134,17 @@ def tfidf(df: DataFrame, tokens: str, min_df: int = 1, vocabulary: int = 1 << 18
     return model, out.drop("_tf", "_idf", "_sum")
 
 
+def tfidf_entries(df: DataFrame, key: str, tokens: str, min_df: int = 1) -> DataFrame:
+    """key, term, weight: the entries of ``tfidf`` vectors that are not 0, of all terms that at least ``min_df`` rows hold."""
+    rows = df.filter(F.col(tokens).isNotNull()).agg(F.count(F.lit(1)).alias("rows"))
+    counts = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    idf = F.ln((F.lit(1.0) + F.col("rows")) / (F.lit(1.0) + F.col("df"))) + 1
+    raw = counts.join(known.join(F.broadcast(rows)), "term").select(key, "term", (F.col("tf") * idf).alias("w"))  # one row
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def _add_vectors(a: str, b: str) -> Column:
     return array_to_vector(F.zip_with(vector_to_array(a), vector_to_array(b), lambda x, y: x + y))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparkloom.operators import evaluate, ml, scale, stats, supervised
@@ -276,11 +275,13 @@ def topic_modeling(spark, d):
     return ml.topic_words(counts, model, 5)
 
 
-@query("text_vectorizer")
+@query("text_vectorizer", """WITH q AS (SELECT Id, string_split(lower(min(Title)), ' ') AS t FROM questions WHERE Id IS NOT NULL AND Title IS NOT NULL GROUP BY 1),
+    c AS (SELECT Id, term, count(*) AS tf FROM (SELECT Id, unnest(t) AS term FROM q) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 5),
+    w AS (SELECT Id, term, tf * (ln((1 + (SELECT count(*) FROM q))::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN d USING (term))
+    SELECT Id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY Id)), 6) AS weight FROM w""")
 def text_vectorizer(spark, d):
-    df = load(spark, d, "questions").filter("Title is not null").dropDuplicates(["Id"]).select("Id", F.split(F.lower("Title"), " ").alias("t"))
-    norm = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x)
-    return ml.tfidf(df, "t", min_df=5, vocabulary=2000)[1].select("Id", F.round(F.sqrt(norm), 6).alias("norm"))
+    df = load(spark, d, "questions").filter("Id is not null and Title is not null").groupBy("Id").agg(F.split(F.lower(F.min("Title")), " ").alias("t"))
+    return ml.tfidf_entries(df, "Id", "t", min_df=5).select("Id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("multi_label_binarizer", "SELECT doc_id, array_to_string([(CASE WHEN c IN (source, domain) THEN 1 ELSE 0 END) for c in ['building', 'polling', 'review']], '') AS marks FROM documents")

@@ -270,3 +270,11 @@ def test_kernel_has_every_pair(spark):
     rows = ml.rbf_kernel(df, "id", "v", 0.1, block=8).collect()
     assert len(rows) == 2500
     assert all(r.k == pytest.approx(np.exp(-0.1 * sum((a - b) ** 2 for a, b in zip(x[r.id], x[r.other])))) for r in rows)
+
+
+def test_weights_of_every_term(spark):
+    words = spark.createDataFrame([(i, ["a", f"w{i // 2}"]) for i in range(20)], "k int, t array<string>")
+    got = {(r.k, r.term): r.weight for r in ml.tfidf_entries(words, "k", "t", 2).collect()}
+    assert {t for _, t in got} == {"a", *[f"w{i}" for i in range(10)]} and len(got) == 40
+    dense = {r.k: sorted(float(v) for v in r.features.toArray() if v) for r in ml.tfidf(words, "t", 2)[1].collect()}
+    assert all(sorted(got[k, t] for t in ("a", f"w{k // 2}")) == pytest.approx(dense[k]) for k in range(20))
