@@ -237,7 +237,8 @@ def tokenize_corpus(spark, d):
 @query("text_to_sequences")
 def text_to_sequences(spark, d):
     df = load(spark, d, "questions").filter("Title is not null").dropDuplicates(["Id"]).select("Id", F.split(F.lower("Title"), " ").alias("t"))
-    return ml.to_sequences(df, "Id", "t", ml.vocabulary_ranks(df, "t"), 12)
+    longest = df.agg(F.max(F.size("t"))).head()[0] or 0  # one value
+    return ml.to_sequences(df, "Id", "t", ml.vocabulary_ranks(df, "t"), longest)
 
 
 def _parts(spark, d):

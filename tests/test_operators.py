@@ -278,3 +278,12 @@ def test_weights_of_every_term(spark):
     assert {t for _, t in got} == {"a", *[f"w{i}" for i in range(10)]} and len(got) == 40
     dense = {r.k: sorted(float(v) for v in r.features.toArray() if v) for r in ml.tfidf(words, "t", 2)[1].collect()}
     assert all(sorted(got[k, t] for t in ("a", f"w{k // 2}")) == pytest.approx(dense[k]) for k in range(20))
+
+
+def test_whole_titles_become_sequences(spark, tmp_path):
+    from sparkloom.queries import statistics
+
+    title = " ".join(f"t{i}" for i in range(30))
+    spark.createDataFrame([(1, title), (2, "t0")], "Id long, Title string").write.parquet(f"{tmp_path}/questions.parquet")
+    got = {r.Id: r.sequence for r in statistics.text_to_sequences(spark, str(tmp_path)).collect()}
+    assert sorted(got[1]) == list(range(1, 31)) and got[2] == [0] * 29 + [1]
