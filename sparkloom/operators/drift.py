@@ -2,9 +2,9 @@
 
 1. Every line becomes a variant; its top-level keys are exploded on the JVM and each (file, field) gets its
    counts and JSON types over all lines.
-2. Value sketches: of each file the records whose hashed key lies below ``sketch / records of the file``, a
-   coordinated sample. The same keys fall into the samples of neighbouring years, so values can be compared
-   record by record; a sketch has about ``sketch`` records whatever the size of the file, without a sort.
+2. Value sketches: of each field of a file the values of the ``sketch`` keys with the smallest hashes among the records
+   where it is not null, a coordinated sample. The same keys fall into the samples of neighbouring years, so values can be
+   compared record by record; a field filled in few lines has as many values as any other, up to all it has.
 3. Per series, each file is compared with the one before. Fields that only one side has are nodes of a
    bipartite graph, weighted by value, type and name similarity; a maximum-weight matching gives the renames.
 4. Matched names are united into canonical columns.
@@ -21,7 +21,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH = 256
@@ -210,10 +210,11 @@ def profile_fields(files: DataFrame, key: str, sketch: int = SKETCH) -> DataFram
     kinds = cells.groupBy(*group, "kind").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.when(F.col("kind") != "null", F.struct("n", (-F.ascii("kind")).alias("order"), "kind")))
     profile = kinds.groupBy(*group).agg(F.sum("n").alias("present"), F.sum(F.when(F.col("kind") != "null", F.col("n")).otherwise(0)).alias("filled"), best["kind"].alias("kind"))
-    sizes = files.groupBy("file_id").agg(F.count(F.lit(1)).alias("size"))
     keyed = files.select("file_id", "record").withColumn("k", F.try_variant_get(F.try_parse_json("record"), F.lit(f"$['{key}']"), "string")).filter("k is not null")
-    share = (F.xxhash64("k").cast("double") / F.lit(float(2**64)) + 0.5) <= F.lit(float(sketch)) / F.col("size")
-    sampled = fields_of(keyed.join(sizes, "file_id").filter(share).select("file_id", "k", "record")).filter("kind <> 'null'")
+    values = fields_of(keyed).filter("kind <> 'null'")
+    # the rank filter is pushed below the shuffle as a limit per field and task (WindowGroupLimit); lines of one key rank alike
+    least = F.dense_rank().over(Window.partitionBy("file_id", "field").orderBy(F.xxhash64("k"), "k"))
+    sampled = values.select("file_id", "field", "k", "text").withColumn("_r", least).filter(F.col("_r") <= sketch)
     # one value per key: the first of repeated lines in text order
     one = sampled.groupBy("file_id", "field", "k").agg(F.min("text").alias("t"))
     sketches = one.groupBy("file_id", "field").agg(F.collect_list(F.struct("k", "t")).alias("sketch"))

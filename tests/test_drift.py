@@ -78,3 +78,13 @@ def test_names_and_numbers():
     assert drift.number_in("1.23 t CO2e") == 1.23
     assert drift.number_in('{"value": 5, "unit": "t"}') == 5
     assert drift.number_in("12 High Street 4") is None
+
+
+def test_rare_field_keeps_its_values(spark):
+    def lines(rare):
+        return [{"OSEBuildingID": i, "Name": f"House {i}"} | ({rare: round(7.3 + i * 1.7, 2)} if i % 100 == 0 else {}) for i in range(1, 2001)]
+
+    files = frame(spark, [(1, 1, 2015, lines("Steam")), (2, 1, 2016, lines("Qvxz"))])
+    kept = {(r.file_id, r.field): len(r.sketch) for r in drift.profile_fields(files, "OSEBuildingID", 64).collect()}
+    assert kept[1, "Steam"] == kept[2, "Qvxz"] == 20 and kept[1, "Name"] == 64
+    assert {(r.change, r.old_field, r.new_field) for r in drift.schema_changes(files, sketch=64).collect()} == {("renamed", "Steam", "Qvxz")}
