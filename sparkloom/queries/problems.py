@@ -58,7 +58,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _features(spark, folder).withColumnRenamed("entity", "customer_id")
+    """The feature rows; the map of types as text, in order of type: type, count, recency in days, cents."""
+    one = F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat_ws(" ", e["key"], e["value"]["count"], e["value"]["recency"], e["value"]["cents"]))
+    return _features(spark, folder).select(F.col("entity").alias("customer_id"), "events", "last", "cents", F.array_join(one, ";").alias("features"))
 
 
 def p3_by_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,5 +90,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _EVENTS_SQL + "SELECT customer_id, event_type FROM features WHERE n >= 2 AND last >= TIMESTAMP '2018-06-03' AND cents > 0",
+        "p3_features": _EVENTS_SQL
+        + """SELECT customer_id, sum(n)::BIGINT AS events, max(last) AS last, sum(cents)::BIGINT AS cents,
+        string_agg(concat_ws(' ', event_type, n, date_diff('day', last::DATE, DATE '2018-09-01'), cents), ';' ORDER BY event_type) AS features FROM features GROUP BY customer_id""",
         "p3_by_type": _EVENTS_SQL + "SELECT customer_id, event_type, n, last, date_diff('day', last::DATE, DATE '2018-09-01') AS recency, cents / 100 AS total FROM features",
     }

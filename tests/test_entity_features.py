@@ -48,7 +48,8 @@ def test_upsert_goes_on_as_files_arrive(spark, tmp_path):
     ef.update_features(spark, source, table, state, clean)
     make(spark, [(2, "A", "y", datetime(2018, 1, 1), 1.0), (3, "a", "x", datetime(2018, 2, 1), 2.0)]).write.mode("append").parquet(source)
     ef.update_features(spark, source, table, state, clean)
-    got = {(r.entity, r.kind): (r.n, r.cents) for r in ef.current_features(spark, table).collect()}
+    current = ef.current_features(spark, table).select("entity", F.explode("types").alias("kind", "v"))
+    got = {(r.entity, r.kind): (r.v.n, r.v.cents) for r in current.collect()}
     assert got == {("a", "x"): (2, 300), ("a", "y"): (1, 100)}
     wide = ef.spread(ef.feature_rows(ef.current_features(spark, table), "2018-09-01"), ["x", "z"]).head()
     assert (wide.count_x, wide.recency_x, wide.total_x, wide.count_z, wide.recency_z, wide.total_z) == (2, 212, 3.0, 0, None, 0.0)
