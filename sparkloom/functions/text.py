@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
@@ -78,54 +77,25 @@ def drop_duplicate_tokens(tokens: Column, keep: str | bool = "first") -> Column:
     return F.array_distinct(tokens)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance of two strings."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        above, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
-    return row[-1]
-
-
-def _per_list(function: Callable[[list[str]], list[str]]):
-    """A function of one token list as an Arrow-batched column function; null stays null."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda ts: None if ts is None else function(list(ts)))
-
-    return run
-
-
 def drop_similar_words(tokens: Column, threshold: float = 0.5) -> Column:
     """Tokens that have another one (at another position) with an edit similarity above the threshold are dropped."""
 
-    def keep(ts: list[str]) -> list[str]:
-        counts = Counter(ts)
-        words = list(counts)
-        near = {w for w, n in counts.items() if n > 1 and threshold < 1}
-        for i, a in enumerate(words):
-            for b in words[i + 1 :]:
-                longest = max(len(a), len(b), 1)
-                if 1 - abs(len(a) - len(b)) / longest > threshold and 1 - edit_distance(a, b) / longest > threshold:
-                    near |= {a, b}
-        return [t for t in ts if t not in near]
+    def near(p: Column, t: Column, i: Column) -> Column:
+        longest = F.greatest(F.length(p["t"]), F.length(t), F.lit(1))
+        # the distance is only computed where the lengths leave it a chance
+        close = (p["i"] != i) & (1 - F.abs(F.length(p["t"]) - F.length(t)) / longest > threshold)
+        return F.when(close, 1 - F.levenshtein(p["t"], t) / longest > threshold).otherwise(False)
 
-    return _per_list(keep)(tokens)
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    return F.filter(tokens, lambda t, i: ~F.exists(placed, lambda p: near(p, t, i)))
 
 
 def drop_most_common(tokens: Column, n: int | float) -> Column:
     """The n (or that share of all tokens) most frequent tokens of a list dropped, ties by token, when it has more than 10."""
-
-    def keep(ts: list[str]) -> list[str]:
-        if len(ts) <= 10:
-            return ts
-        top = n if isinstance(n, int) else int(n * len(ts))
-        common = {w for w, _ in sorted(Counter(ts).items(), key=lambda x: (-x[1], x[0]))[:top]}
-        return [t for t in ts if t not in common]
-
-    return _per_list(keep)(tokens)
+    counted = F.array_sort(F.transform(F.array_distinct(tokens), lambda w: F.struct((-F.size(F.filter(tokens, lambda t: t == w))).alias("n"), w.alias("w"))))
+    top = F.lit(n) if isinstance(n, int) else F.floor(F.size(tokens) * n).cast("int")
+    common = F.transform(F.slice(counted, F.lit(1), top), lambda e: e["w"])
+    return F.when(F.size(tokens) > 10, F.filter(tokens, lambda t: ~F.array_contains(common, t))).otherwise(tokens)
 
 
 def keep_lengths(tokens: Column, low: int, high: int, domain: Iterable[str] = ()) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.profile import ranked
+from sparkloom.operators.quantiles import column_quantiles
 
 
 def confusion(df: DataFrame, label: str, prediction: str, normalise: bool = False) -> DataFrame:
@@ -110,7 +111,7 @@ def micro_f1(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def dummy_regression(train: DataFrame, test: DataFrame, label: str, strategy: str = "mean") -> DataFrame:
     """Scores of the constant mean or median of the training labels."""
-    guess = train.agg((F.avg(label) if strategy == "mean" else F.median(label)).alias("_g"))
+    guess = train.agg(F.avg(label).alias("_g")) if strategy == "mean" else column_quantiles(train, {"_q": F.col(label)}, [0.5]).select(F.col("_q")[0].alias("_g"))
     return regression_scores(test.join(F.broadcast(guess)), label, "_g")
 
 

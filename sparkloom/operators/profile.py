@@ -7,16 +7,17 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import column_quantiles, columns_long, quantiles
+
 
 def measures(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """column, count, mean, std (n - 1), min, q1, median, q3 (exact, linear), max of numeric columns in one pass."""
-    columns = list(columns)
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("max")).alias(f"_{i}"))
-    one = df.agg(*aggs).select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("m"))
-    return one.select("m.column", "m.count", "m.mean", "m.std", "m.min", F.col("m.q")[0].alias("q1"), F.col("m.q")[1].alias("median"), F.col("m.q")[2].alias("q3"), "m.max")
+    """column, count, mean, std (n - 1), min, q1, median, q3 (exact, linear), max of numeric columns, from one pass over the rows."""
+    long = columns_long(df, {c: F.col(f"`{c}`") for c in columns})
+    x = F.col("x")
+    plain = long.groupBy(F.col("name").alias("column")).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    cuts = quantiles(long, "name", "x", [0.25, 0.5, 0.75]).withColumnRenamed("key", "column")
+    q = F.col("q")
+    return plain.join(cuts, "column", "left").select("column", "count", "mean", "std", "min", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), "max")
 
 
 def text_measures(df: DataFrame, column: str) -> DataFrame:
@@ -35,7 +36,8 @@ def modes(df: DataFrame, column: str) -> DataFrame:
 
 def central_tendency(df: DataFrame, column: str) -> DataFrame:
     """One row: mean, median (exact)."""
-    return df.agg(F.avg(column).alias("mean"), F.median(column).alias("median"))
+    middle = column_quantiles(df, {"_q": F.col(column)}, [0.5]).select(F.col("_q")[0].alias("median"))
+    return df.agg(F.avg(column).alias("mean")).join(F.broadcast(middle))  # one row
 
 
 def dispersion(df: DataFrame, column: str) -> DataFrame:
@@ -93,7 +95,14 @@ def percentage_difference(a: Column, b: Column, precision: int = 2) -> Column:
 
 def group_medians(df: DataFrame, category: str, columns: Iterable[str]) -> DataFrame:
     """Median of each numeric column by category; rows without a category are left out."""
-    return df.filter(F.col(category).isNotNull()).groupBy(category).agg(*[F.median(c).alias(c) for c in columns])
+    columns = list(columns)
+    known = df.filter(F.col(category).isNotNull())
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
+    long = known.select(F.col(category).alias("c"), pairs.alias("_e")).select("c", "_e.*")
+    found = quantiles(long, F.struct("c", "i"), "x", [0.5]).select("key.c", "key.i", F.col("q")[0].alias("m"))
+    made = found.groupBy("c").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(c) for i, c in enumerate(columns)])
+    names = known.select(F.col(category).alias("c")).distinct()
+    return names.join(made, "c", "left").withColumnRenamed("c", category)
 
 
 def value_counts(df: DataFrame, column: str, precision: int = 1, top: int | None = None) -> DataFrame:
@@ -154,8 +163,10 @@ def histograms(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
     """by, q1, median, q3, mean, low, high: quartiles and whiskers (the extreme values within 1.5 IQR) by category."""
-    q = df.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(column).alias("mean"))
-    q = q.select(F.col(by).alias("_by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
+    cuts = quantiles(df, F.struct(by), column, [0.25, 0.5, 0.75]).select(F.col(f"key.{by}").alias("_k"), "q")
+    means = df.groupBy(F.col(by).alias("_by")).agg(F.avg(column).alias("mean"))
+    q = means.join(cuts, F.col("_by").eqNullSafe(F.col("_k")), "left")
+    q = q.select("_by", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(column).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     out = df.join(q, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, "q1", "median", "q3", "mean")

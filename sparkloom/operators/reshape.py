@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import column_quantiles
+
 MAX_VALUES = 1000
 
 
@@ -42,7 +44,7 @@ def quantile_bins(df: DataFrame, column: str, bins: int, labels: list[str] | Non
 
     Labels, or the edges as text "left-right". Equal edges make their bin empty. Nulls have no bin.
     """
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("_q"))
+    cuts = column_quantiles(df, {"_q": F.col(column)}, [i / bins for i in range(bins + 1)])
     out = df.join(F.broadcast(cuts))  # one row
     label: Column = F.lit(None).cast("string")
     for i in range(bins - 1, -1, -1):

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import column_quantiles
+
 
 class Scaler(NamedTuple):
     """x becomes (x - shift) / factor; a factor of 0 or null leaves x - shift."""
@@ -40,7 +42,9 @@ def standard(df: DataFrame, columns: list[str], center: bool = True, reduce: boo
 
 def robust(df: DataFrame, columns: list[str], low: float = 0.25, high: float = 0.75) -> Scaler:
     """(x - median) / range between two exact quantiles."""
-    return _fit(df, columns, F.median, lambda c: F.percentile(c, F.lit(high)) - F.percentile(c, F.lit(low)))
+    row = column_quantiles(df, {c: F.col(c) for c in columns}, [low, 0.5, high]).head()
+    cuts = {c: row[i] or (0.0, 0.0, 0.0) for i, c in enumerate(columns)}
+    return Scaler({c: q[1] for c, q in cuts.items()}, {c: q[2] - q[0] for c, q in cuts.items()})
 
 
 def log1p(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,18 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.quantiles import column_quantiles
+
 #: Patterns over the recency and frequency digits, and the label of each, tried in this order.
 SEGMENTS = {
-    "[1-2][1-2]": "hibernating",
-    "[1-2][3]": "at risk",
-    "[1-2]4": "can't lose them",
-    "2[1-2]": "about to sleep",
-    "3[1-2]": "promising",
-    "33": "need attention",
-    "[3-4][3-4]": "loyal customers",
-    "41": "new customers",
-    "4[2-3]": "potential loyalists",
-    "44": "champions",
+    "11": "Churned customers",
+    "1[2-3]": "Former potential loyalists",
+    "[1-2]4": "Former best customers",
+    "21": "About to churn",
+    "22": "Average customers",
+    "[2-3][3-4]": "Loyal customers",
+    "31": "Rising customers",
+    "41": "New customers",
+    "[3-4][1-2]": "Potential loyalists",
+    "4[3-4]": "Best customers",
 }
 
 
@@ -36,7 +38,7 @@ def rfm(orders: DataFrame, customer: str, at: str, amount: str) -> DataFrame:
 
 def quantile_scores(df: DataFrame, columns: list[str], reverse: tuple[str, ...] = (), quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Adds <column>_score, 1 to n + 1 by exact quantiles (a value at a quantile falls below it); reversed columns score high when low."""
-    cuts = df.agg(*[F.percentile(c, F.array(*map(F.lit, quantiles))).alias(f"_q_{c}") for c in columns])
+    cuts = column_quantiles(df, {f"_q_{c}": F.col(c) for c in columns}, quantiles)
     out = df.join(F.broadcast(cuts))  # one row
     for c in columns:
         n = len(quantiles)

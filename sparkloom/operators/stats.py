@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.tails import chi2_tail, f_tail
+from sparkloom.operators.quantiles import quantiles
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,7 +83,7 @@ def anova_test(df: DataFrame, value: str, category: str, alpha: float = 0.05) ->
 def levene(df: DataFrame, value: str, category: str) -> DataFrame:
     """The analysis of variance of the absolute distances to the group median (Levene's test, median centred)."""
     rows = df.filter(F.col(value).isNotNull() & F.col(category).isNotNull()).select(F.col(category).alias("c"), F.col(value).alias("x"))
-    centre = rows.groupBy("c").agg(F.median("x").alias("m"))
+    centre = quantiles(rows, "c", "x", [0.5]).select(F.col("key").alias("c"), F.col("q")[0].alias("m"))
     return anova(rows.join(centre, "c").select("c", F.abs(F.col("x") - F.col("m")).alias("z")), "z", "c")
 
 

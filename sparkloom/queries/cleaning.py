@@ -293,8 +293,20 @@ def plot_time_serie_subplots(spark, d):
     return out.withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 4))
 
 
-@query("data_scan")
+_SCAN = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max FROM documents"""
+    for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"), ("author_id", "string"), ("domain", "string"))
+)
+
+
+@query("data_scan", _SCAN)
 def data_scan(spark, d):
+    """The scan without its approximate counts of distinct values (see data_info) and without timestamps, which print differently."""
+    return profile.profile(load(spark, d, "documents").drop("created_at", "ingested_at")).drop("approx_distinct")
+
+
+@query("data_info")
+def data_info(spark, d):
     return profile.profile(load(spark, d, "documents"))
 
 
@@ -309,7 +321,11 @@ def categorize_target(spark, d):
     return reshape.quantile_bins(load(spark, d, "orders"), "o_totalprice", 3, ["low", "medium", "high"]).select("o_orderkey", "bin")
 
 
-@query("quantile_bin_labels")
+@query(
+    "quantile_bin_labels",
+    """WITH q AS (SELECT quantile_cont(p_retailprice, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]) AS q FROM part),
+    b AS (SELECT list_filter(range(1, 9), lambda i: p_retailprice <= q[i + 1])[1] AS i, q FROM part, q) SELECT round(q[i], 2)::VARCHAR || '-' || round(q[i + 1], 2)::VARCHAR AS bin, count(*) AS n FROM b GROUP BY 1""",
+)
 def quantile_bin_labels(spark, d):
     return reshape.quantile_bins(load(spark, d, "part"), "p_retailprice", 8).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 

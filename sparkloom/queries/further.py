@@ -12,6 +12,9 @@ from sparkloom.sources.archives import detect_delimiter
 
 query = Registry()
 
+#: Quarters of the orders of the test tables, for the SQL of a query whose columns are the quarters in the data.
+QUARTERS = [(y, q) for y in range(1995, 2002) for q in range(1, 5)]
+
 
 @query("detect_file_delimiter", """SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN c >= s AND c >= t THEN ',' WHEN s >= t THEN ';' ELSE chr(9) END AS delimiter
     FROM (SELECT doc_id, text, length(text) - length(replace(text, ',', '')) AS c, length(text) - length(replace(text, ';', '')) AS s, length(text) - length(replace(text, chr(9), '')) AS t FROM documents)""")
@@ -79,10 +82,10 @@ def roc_decision_rule(spark, d):
     return rank.decision_index(table, "i", "cumulative", "t", 0.5)
 
 
-@query("gram_matrix")
+@query("gram_matrix", "SELECT a.vec_id, b.vec_id AS other, round(exp(-0.5 * list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ^ 2), 6) AS k FROM embeddings a CROSS JOIN embeddings b")
 def gram_matrix(spark, d):
     df = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return ml.rbf_kernel(df, "vec_id", "embedding", 0.5).select("vec_id", "other", F.round("k", 9).alias("k"))
+    return ml.rbf_kernel(df, "vec_id", "embedding", 0.5).select("vec_id", "other", F.round("k", 6).alias("k"))
 
 
 @query("autotag_question", "SELECT vec_id, concat_ws(' ', CASE WHEN embedding[1] > 0.5 THEN 'A' END, CASE WHEN embedding[2] > 0.5 THEN 'B' END, CASE WHEN embedding[3] > 0.5 THEN 'C' END) AS tags FROM embeddings")
@@ -114,11 +117,16 @@ def normalize_coordinates_columns_labels(spark, d):
     return geo.as_xy(df.select(a, b).na.drop(), a, b)
 
 
-@query("nearest_neighbor_search")
+@query(
+    "nearest_neighbor_search",
+    """WITH p AS (SELECT DISTINCT OSEBuildingID AS id, Longitude AS x, Latitude AS y FROM benchmarking_2016 WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL), a AS (SELECT * FROM p WHERE id % 2 = 0), b AS (SELECT * FROM p WHERE id % 2 = 1),
+    d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS d FROM a JOIN b ON abs(a.x - b.x) <= 0.05 AND abs(a.y - b.y) <= 0.05), m AS (SELECT id, arg_min(other, (d, other)) AS other, min(d) AS d FROM d WHERE d <= 0.05 GROUP BY 1)
+    SELECT id, other, round(d, 9) AS distance FROM a LEFT JOIN m USING (id)""",
+)
 def nearest_neighbor_search(spark, d):
-    p = load(spark, d, "benchmarking_2016").dropDuplicates(["OSEBuildingID"]).filter("Latitude is not null and Longitude is not null").select(F.col("OSEBuildingID").alias("id"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y"))
+    p = load(spark, d, "benchmarking_2016").filter("Latitude is not null and Longitude is not null").select(F.col("OSEBuildingID").alias("id"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y")).distinct()
     early, late = p.filter("id % 2 = 0"), p.filter("id % 2 = 1").withColumnRenamed("id", "other")
-    return geo.nearest(early, late, "id", "other", 0.05).select("id", "other", "distance")
+    return geo.nearest(early, late, "id", "other", 0.05).select("id", "other", F.round("distance", 9).alias("distance"))
 
 
 @query("shares_complete", """SELECT OSEBuildingID, round(e * 100.0 / nullif(t, 0), 1) AS e_share, round(g * 100.0 / nullif(t, 0), 1) AS g_share, round(s * 100.0 / nullif(t, 0), 1) AS s_share
@@ -136,7 +144,7 @@ def centroid_deviation(spark, d):
     return a.join(b, "c_mktsegment").agg(F.round(F.avg(F.abs((F.col("b") - F.col("a")) * 100.0 / F.col("a"))), 6).alias("deviation"))
 
 
-@query("stratified_split")
+@query("stratified_split", """WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, 'test' AS part, round(n * 0.2)::BIGINT AS n FROM c UNION ALL SELECT o_orderpriority, 'train', n - round(n * 0.2)::BIGINT FROM c""")
 def stratified_split(spark, d):
     train, test = reshape.stratified_split(load(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
     parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -150,18 +158,26 @@ def period_indicators_compat(spark, d):
     return df.join(counts, ["o_custkey", "first"]).select("o_custkey", "o_orderkey", "n")
 
 
-@query("decompose_by_quarter")
+@query("decompose_by_quarter", "SELECT o_custkey, " + ", ".join(f"count(*) FILTER (year(o_orderdate) = {y} AND quarter(o_orderdate) = {q}) AS \"{y}Q{q}_count\", round(coalesce(sum(o_totalprice) FILTER (year(o_orderdate) = {y} AND quarter(o_orderdate) = {q}), 0), 2) AS \"{y}Q{q}_sum\"" for y, q in QUARTERS) + " FROM orders GROUP BY 1")
 def decompose_by_quarter(spark, d):
     return segment.period_features(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "quarter")
 
 
-@query("retention_pivot")
+@query(
+    "retention_pivot",
+    """WITH m AS (SELECT DISTINCT o_custkey AS c, date_trunc('month', o_orderdate)::DATE AS month FROM orders), k AS (SELECT c, month, min(month) OVER (PARTITION BY c) AS cohort FROM m),
+    n AS (SELECT cohort, date_diff('month', cohort, month) + 1 AS period, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT cohort, period, round(n / max(n) FILTER (period = 1) OVER (PARTITION BY cohort), 6) AS rate FROM n)
+    SELECT cohort, """ + ", ".join(f'max(rate) FILTER (period = {p}) AS "{p}"' for p in range(1, 13)) + " FROM r GROUP BY 1",
+)
 def retention_pivot(spark, d):
     cells = segment.retention(load(spark, d, "orders"), "o_custkey", "o_orderdate")
     return segment.retention_matrix(cells, list(range(1, 13)))
 
 
-@query("print_features_reduction")
+_PAIRS = [(a, b) for i, a in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax")) for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")[i + 1 :]]
+
+
+@query("print_features_reduction", "WITH r AS (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM lineitem" for a, b in _PAIRS) + "), k AS (SELECT 4 - count(DISTINCT b) AS k FROM r WHERE abs(r) > 0.5) SELECT 4::INT AS features, k::INT AS kept, round(100 - k / 4.0 * 100, 1)::DOUBLE AS reduction FROM k")
 def print_features_reduction(spark, d):
     df = load(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     left = stats.filter_features(df, df.columns, 0.5).columns

@@ -13,7 +13,7 @@ query = Registry()
 
 
 def _points(spark, d):
-    df = load(spark, d, "benchmarking_2016").dropDuplicates(["OSEBuildingID"]).filter("Latitude is not null and Longitude is not null")
+    df = load(spark, d, "benchmarking_2016").filter("Latitude is not null and Longitude is not null").groupBy("OSEBuildingID").agg(F.min(F.struct("Neighborhood", "Longitude", "Latitude")).alias("r")).select("OSEBuildingID", "r.*")
     return df.select(F.col("OSEBuildingID").alias("id"), F.initcap(F.trim(F.replace("Neighborhood", F.lit("\n"), F.lit("")))).alias("area"), F.col("Longitude").alias("x"), F.col("Latitude").alias("y"))
 
 
@@ -26,7 +26,13 @@ def get_geodesic_dist(spark, d):
     return _points(spark, d).select("id", F.round(km, 6).alias("km"))
 
 
-@query("convert_geodetic_system")
+#: The closed form of the projection with the fixed values of ``scalars.lambert93``.
+_LAMBERT = f"""WITH p AS (SELECT id, radians(y) AS phi, radians(x + 124 - 3) AS lam FROM ({_POINTS})),
+i AS (SELECT id, lam, 11754255.426 * exp(-0.7256077650 * (ln(tan(phi / 2 + pi() / 4)) - 0.08181919112 / 2 * ln((1 + 0.08181919112 * sin(phi)) / (1 - 0.08181919112 * sin(phi))))) AS r FROM p)
+SELECT id, round(700000 + r * sin(0.7256077650 * lam), 3) AS x, round(12655612.050 - r * cos(0.7256077650 * lam), 3) AS y FROM i"""
+
+
+@query("convert_geodetic_system", _LAMBERT)
 def convert_geodetic_system(spark, d):
     x, y = scalars.lambert93(F.col("y"), F.col("x") + 124)
     return _points(spark, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))

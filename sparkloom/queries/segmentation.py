@@ -29,11 +29,10 @@ l AS (
 ),
 f AS (
   SELECT *, CASE
-    WHEN regexp_full_match(code, '[1-2][1-2]') THEN 'hibernating' WHEN regexp_full_match(code, '[1-2]3') THEN 'at risk'
-    WHEN regexp_full_match(code, '[1-2]4') THEN 'can''t lose them' WHEN regexp_full_match(code, '2[1-2]') THEN 'about to sleep'
-    WHEN regexp_full_match(code, '3[1-2]') THEN 'promising' WHEN code = '33' THEN 'need attention'
-    WHEN regexp_full_match(code, '[3-4][3-4]') THEN 'loyal customers' WHEN code = '41' THEN 'new customers'
-    WHEN regexp_full_match(code, '4[2-3]') THEN 'potential loyalists' WHEN code = '44' THEN 'champions' END AS segment FROM l
+    WHEN fs = 4 THEN CASE rs WHEN 4 THEN 'Best customers' WHEN 3 THEN 'Loyal customers' ELSE 'Former best customers' END
+    WHEN fs = 3 THEN CASE rs WHEN 4 THEN 'Best customers' WHEN 1 THEN 'Former potential loyalists' ELSE 'Loyal customers' END
+    WHEN fs = 2 THEN CASE rs WHEN 1 THEN 'Former potential loyalists' WHEN 2 THEN 'Average customers' ELSE 'Potential loyalists' END
+    ELSE CASE rs WHEN 1 THEN 'Churned customers' WHEN 2 THEN 'About to churn' WHEN 3 THEN 'Rising customers' ELSE 'New customers' END END AS segment FROM l
 )
 """
 

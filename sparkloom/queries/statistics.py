@@ -62,16 +62,28 @@ def homoscedasticity_levene(spark, d):
     return stats.levene(load(spark, d, "customer"), "c_acctbal", "c_mktsegment").select("groups", "n", F.round("f", 6).alias("f"))
 
 
-@query("anova_test")
+# five groups: the tail of F with four degrees of freedom above has a closed form
+@query(
+    "anova_test",
+    """WITH g AS (SELECT c_mktsegment AS x, c_acctbal AS y, avg(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m, avg(c_acctbal) OVER () AS t FROM customer),
+    s AS (SELECT count(*) AS n, sum((m - t) * (m - t)) AS b, sum((y - m) * (y - m)) AS w FROM g), f AS (SELECT (b / 4) / (w / (n - 5)) AS f, b / (b + w) AS e, (n - 5) / 2.0 AS h FROM s),
+    p AS (SELECT f, e, round(pow(2 * h / (2 * h + 4 * f), h) * (1 + h * (1 - 2 * h / (2 * h + 4 * f))), 3) AS p FROM f)
+    SELECT round(f, 6) AS f, p, round(e, 8) AS eta2, p < 0.05 AS reject FROM p""",
+)
 def anova_test(spark, d):
     r = stats.anova_test(load(spark, d, "customer"), "c_acctbal", "c_mktsegment")
-    return spark.createDataFrame([(r["f"], r["p"], r["eta2"], r["reject"])], "f double, p double, eta2 double, reject boolean")
+    return spark.createDataFrame([(round(r["f"], 6), r["p"], round(r["eta2"], 8), r["reject"])], "f double, p double, eta2 double, reject boolean")
 
 
-@query("homoscedasticity_bartlett")
+@query(
+    "homoscedasticity_bartlett",
+    """WITH g AS (SELECT count(*) AS n, var_samp(c_acctbal) AS v FROM customer GROUP BY c_mktsegment), s AS (SELECT count(*) AS k, sum(n) AS n, sum((n - 1) * v) AS w, sum((n - 1) * ln(v)) AS l, sum(1.0::DOUBLE / (n - 1)) AS i FROM g),
+    t AS (SELECT ((n - k) * ln(w / (n - k)) - l) / (1 + (i - 1.0::DOUBLE / (n - k)) / (3 * (k - 1))) AS s FROM s)
+    SELECT round(s, 6) AS statistic, round(exp(-s / 2) * (1 + s / 2), 6) AS p FROM t""",
+)
 def homoscedasticity_bartlett(spark, d):
     r = stats.bartlett(load(spark, d, "customer"), "c_acctbal", "c_mktsegment")
-    return spark.createDataFrame([(r["statistic"], r["p"])], "statistic double, p double")
+    return spark.createDataFrame([(round(r["statistic"], 6), round(r["p"], 6))], "statistic double, p double")
 
 
 @query(
@@ -84,10 +96,16 @@ def chi_2_heatmap(spark, d):
     return stats.chi2_cells(load(spark, d, "lineitem"), "l_returnflag", "l_linestatus").withColumn("expected", F.round("expected", 6)).withColumn("contribution", F.round("contribution", 6))
 
 
-@query("chi_2_test")
+@query(
+    "chi_2_test",
+    """WITH c AS (SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT x, sum(n) AS nx FROM c GROUP BY 1), k AS (SELECT y, sum(n) AS ny FROM c GROUP BY 1),
+    e AS (SELECT coalesce(n, 0) AS n, nx * ny / (SELECT sum(n) FROM c)::DOUBLE AS e FROM r CROSS JOIN k LEFT JOIN c USING (x, y)), s AS (SELECT sum((n - e) * (n - e) / e) AS s, count(*) AS cells FROM e),
+    p AS (SELECT s, exp(-s / 2) * (1 + s / 2 + (s / 2) ^ 2 / 2 + (s / 2) ^ 3 / 6) AS p FROM s)
+    SELECT round(s, 6) AS statistic, 8::INT AS dof, round(p, 6) AS p, p < 0.05 AS reject FROM p""",
+)
 def chi_2_test(spark, d):
     r = stats.chi2_test(load(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
-    return spark.createDataFrame([(r["statistic"], r["dof"], r["p"], r["reject"])], "statistic double, dof int, p double, reject boolean")
+    return spark.createDataFrame([(round(r["statistic"], 6), r["dof"], round(r["p"], 6), r["reject"])], "statistic double, dof int, p double, reject boolean")
 
 
 @query("plot_linear_regression", "SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem")
@@ -101,9 +119,14 @@ def plot_residuals(spark, d):
     return stats.residuals(load(spark, d, "part"), "p_size", "p_retailprice").select("p_partkey", F.round("residual", 4).alias("residual"))
 
 
-@query("plot_norm_subplots")
+@query(
+    "plot_norm_subplots",
+    """WITH g AS (SELECT -2 + 4.0::DOUBLE * i / 80 AS p FROM generate_series(0, 80) t(i)), x AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice > 0),
+    v AS (SELECT p, count(*) AS n, sum(ln(x)) AS l, var_pop(CASE WHEN abs(p) < 1e-12 THEN ln(x) ELSE (pow(x, p) - 1) / p END) AS v FROM g, x GROUP BY p)
+    SELECT round(arg_max(p, -n / 2 * ln(v) + (p - 1) * l), 6) AS power FROM v""",
+)
 def plot_norm_subplots(spark, d):
-    return spark.createDataFrame([(stats.box_cox(load(spark, d, "orders"), "o_totalprice"),)], "power double")
+    return spark.createDataFrame([(round(stats.box_cox(load(spark, d, "orders"), "o_totalprice"), 6),)], "power double")
 
 
 @query("min_max_scaler", "SELECT o_orderkey, round((o_totalprice - lo) / (hi - lo), 8) AS o_totalprice FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
@@ -181,9 +204,14 @@ def auc(spark, d):
     return evaluate.auc(_scored(spark, d), "y", "s").select(F.round("auc", 8).alias("auc"))
 
 
-@query("plot_lift_curve")
+@query(
+    "plot_lift_curve",
+    f"""WITH g AS (SELECT s, count(*) AS n, sum(y::INT) AS p FROM ({_SCORED}) GROUP BY 1), c AS (SELECT s, sum(n) OVER w AS n, sum(p) OVER w AS p FROM g WINDOW w AS (ORDER BY s DESC)), t AS (SELECT sum(n) AS t, sum(p) AS tp FROM g)
+    SELECT round(s, 6) AS threshold, round(n / t::DOUBLE, 8) AS share, round(p / tp::DOUBLE, 8) AS gain, round((p / tp::DOUBLE) / (n / t::DOUBLE), 6) AS lift FROM c, t""",
+)
 def plot_lift_curve(spark, d):
-    return evaluate.lift(_scored(spark, d), "y", "s")
+    out = evaluate.lift(_scored(spark, d), "y", "s")
+    return out.select(F.round("threshold", 6).alias("threshold"), F.round("share", 8).alias("share"), F.round("gain", 8).alias("gain"), F.round("lift", 6).alias("lift"))
 
 
 @query("get_model_scores", "SELECT round(avg((l_extendedprice - l_quantity * 1000) ^ 2), 3) AS mse, round(sqrt(avg((l_extendedprice - l_quantity * 1000) ^ 2)), 3) AS rmse, round(1 - avg((l_extendedprice - l_quantity * 1000) ^ 2) / var_pop(l_extendedprice), 3) AS r2 FROM lineitem")
@@ -202,7 +230,12 @@ def adjusted_rand_score(spark, d):
     return evaluate.adjusted_rand(load(spark, d, "orders"), "o_orderstatus", "o_orderpriority").select(F.round("ari", 8).alias("ari"))
 
 
-@query("evaluate_text_classifier")
+@query(
+    "evaluate_text_classifier",
+    """WITH q AS (SELECT [x for x in string_split(regexp_replace(Tags, '^<|>$', '', 'g'), '><') if x <> ''] AS t FROM questions WHERE Tags IS NOT NULL),
+    s AS (SELECT list_distinct(t) AS y, list_distinct(t[1:2]) AS p FROM q WHERE len(t) > 0), n AS (SELECT len(y)::DOUBLE AS y, len(p)::DOUBLE AS p, len(list_intersect(y, p))::DOUBLE AS b FROM s)
+    SELECT round(avg((y = p AND b = y)::INT) * 100, 2) AS accuracy, round(avg(b / p) * 100, 2) AS precision, round(avg(b / y) * 100, 2) AS recall, round(avg(2 * b / (y + p)) * 100, 2) AS f1, round(avg(b / (y + p - b)) * 100, 2) AS jaccard FROM n""",
+)
 def evaluate_text_classifier(spark, d):
     tags = F.filter(F.split(F.regexp_replace("Tags", "^<|>$", ""), "><"), lambda t: t != "")
     df = load(spark, d, "questions").filter("Tags is not null").select(tags.alias("y"), F.slice(tags, 1, 2).alias("p")).filter("size(y) > 0")
@@ -234,15 +267,22 @@ def tokenize_corpus(spark, d):
     return ml.vocabulary_ranks(df, "t")
 
 
-@query("text_to_sequences")
+@query(
+    "text_to_sequences",
+    """WITH q AS (SELECT Id, string_split(lower(min(Title)), ' ') AS t FROM questions WHERE Id IS NOT NULL AND Title IS NOT NULL GROUP BY 1), w AS (SELECT Id, generate_subscripts(t, 1) AS i, unnest(t) AS term FROM q),
+    v AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS r FROM w GROUP BY 1), s AS (SELECT Id, string_agg(r::VARCHAR, ' ' ORDER BY i) AS s, count(*) AS n FROM w JOIN v USING (term) GROUP BY 1)
+    SELECT Id, repeat('0 ', (SELECT max(len(t)) FROM q) - n) || s AS sequence FROM s""",
+)
 def text_to_sequences(spark, d):
-    df = load(spark, d, "questions").filter("Title is not null").dropDuplicates(["Id"]).select("Id", F.split(F.lower("Title"), " ").alias("t"))
+    df = load(spark, d, "questions").filter("Id is not null and Title is not null").groupBy("Id").agg(F.split(F.lower(F.min("Title")), " ").alias("t"))
     longest = df.agg(F.max(F.size("t"))).head()[0] or 0  # one value
-    return ml.to_sequences(df, "Id", "t", ml.vocabulary_ranks(df, "t"), longest)
+    out = ml.to_sequences(df, "Id", "t", ml.vocabulary_ranks(df, "t"), longest)
+    return out.select("Id", F.array_join(F.transform("sequence", lambda x: x.cast("string")), " ").alias("sequence"))
 
 
 def _parts(spark, d):
-    return load(spark, d, "olist_train_data").dropDuplicates(["customer_id"]).filter("recency between 0 and 9998 and monetary_value > 0 and frequency > 0").select("customer_id", F.col("recency").cast("double").alias("recency"), F.ln("frequency").alias("frequency"), F.ln("monetary_value").alias("monetary"))
+    one = load(spark, d, "olist_train_data").filter("recency between 0 and 9998 and monetary_value > 0 and frequency > 0").groupBy("customer_id").agg(F.min(F.struct("recency", "frequency", "monetary_value")).alias("r")).select("customer_id", "r.*")
+    return one.select("customer_id", F.col("recency").cast("double").alias("recency"), F.ln("frequency").alias("frequency"), F.ln("monetary_value").alias("monetary"))
 
 
 _RFM = ["recency", "frequency", "monetary"]
@@ -263,15 +303,22 @@ def hierarchical(spark, d):
     return ml.hierarchical(ml.assemble(_parts(spark, d), _RFM), 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("LinearPCA")
+# the eigenvalues of a correlation matrix of three columns in closed form
+@query(
+    "LinearPCA",
+    """WITH o AS (SELECT customer_id, min({'r': recency, 'f': frequency, 'm': monetary_value}) AS v FROM olist_train_data WHERE recency BETWEEN 0 AND 9998 AND monetary_value > 0 AND frequency > 0 GROUP BY 1),
+    c AS (SELECT corr(v.r, ln(v.f)) AS a, corr(v.r, ln(v.m)) AS b, corr(ln(v.f), ln(v.m)) AS c FROM o), p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c), q AS (SELECT p, acos(a * b * c / (p * p * p)) / 3 AS t FROM p),
+    e AS (SELECT 1 + 2 * p * cos(t) AS x, 1 + 2 * p * cos(t + 2 * pi() / 3) AS z FROM q)
+    SELECT i::INT AS component, round(v / 3, 6) AS ratio, round(s / 3, 6) AS cumulative FROM (SELECT 1 AS i, x AS v, x AS s FROM e UNION ALL SELECT 2, 3 - x - z, 3 - z FROM e UNION ALL SELECT 3, z, 3 FROM e)""",
+)
 def linear_pca(spark, d):
     model, _ = ml.pca(_parts(spark, d), _RFM)
-    return ml.explained(spark, model)
+    return ml.explained(spark, model).select("component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
 
 
 @query("TopicModeling")
 def topic_modeling(spark, d):
-    df = load(spark, d, "questions").filter("Title is not null").dropDuplicates(["Id"]).select("Id", F.split(F.lower("Title"), " ").alias("t"))
+    df = load(spark, d, "questions").filter("Title is not null").groupBy("Id").agg(F.split(F.lower(F.min("Title")), " ").alias("t"))
     counts, model, _ = ml.topics(df, "t", k=4, max_iter=3)
     return ml.topic_words(counts, model, 5)
 
@@ -316,7 +363,7 @@ def residue_normality_test(spark, d):
 
 
 def _energy(spark, d):
-    df = load(spark, d, "benchmarking_2016").dropDuplicates(["OSEBuildingID"]).select("OSEBuildingID", "PropertyGFATotal", "NumberofFloors", "YearBuilt", F.log1p("`SiteEnergyUse(kBtu)`").alias("target"))
+    df = load(spark, d, "benchmarking_2016").groupBy("OSEBuildingID").agg(F.min(F.struct("PropertyGFATotal", "NumberofFloors", "YearBuilt", F.log1p("`SiteEnergyUse(kBtu)`").alias("target"))).alias("r")).select("OSEBuildingID", "r.*")
     return ml.assemble(df.na.drop().withColumn("PropertyGFATotal", F.log1p("PropertyGFATotal")), ["PropertyGFATotal", "NumberofFloors", "YearBuilt"])
 
 

@@ -38,7 +38,7 @@ def filter_punctuation(spark, d):
     return _tokens(spark, d).select("doc_id", F.array_join(text.drop_punctuation(F.col("t")), " ").alias("tokens"))
 
 
-@query("filter_repeated_characters")
+@query("filter_repeated_characters", _joined("tokens", "[x for x in t if len([i for i in range(1, length(x) - 1) if x[i] = x[i + 1] AND x[i + 1] = x[i + 2]]) = 0]"))
 def filter_repeated_characters(spark, d):
     return _tokens(spark, d).select("doc_id", F.array_join(text.drop_repeated_characters(F.col("t")), " ").alias("tokens"))
 
@@ -82,16 +82,33 @@ def filter_duplicates(spark, d):
     return _tokens(spark, d).select("doc_id", F.array_join(text.drop_duplicate_tokens(F.col("t"), keep=False), " ").alias("tokens"))
 
 
-@query("filter_words_by_similarity")
+_TITLES = "SELECT DISTINCT Id, string_split(lower(Title), ' ') AS t FROM questions WHERE Title IS NOT NULL"
+
+
+def _titles(spark, d):
+    return load(spark, d, "questions").filter("Title is not null").select("Id", F.split(F.lower("Title"), " ").alias("t")).distinct()
+
+
+@query(
+    "filter_words_by_similarity",
+    f"""WITH q AS (SELECT row_number() OVER () AS k, Id, t FROM ({_TITLES})), w AS (SELECT k, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM q),
+    n AS (SELECT DISTINCT a.k, a.i FROM w a JOIN w b ON a.k = b.k AND a.i <> b.i AND 1 - levenshtein(a.w, b.w) / greatest(length(a.w), length(b.w), 1)::DOUBLE > 0.8),
+    s AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS tokens FROM w ANTI JOIN n USING (k, i) GROUP BY 1) SELECT Id, coalesce(tokens, '') AS tokens FROM q LEFT JOIN s USING (k)""",
+)
 def filter_words_by_similarity(spark, d):
-    tokens = F.split(F.lower("Title"), r"\s+")
-    return load(spark, d, "questions").filter("Title is not null").select("Id", F.array_join(text.drop_similar_words(tokens, 0.8), " ").alias("tokens"))
+    tokens = F.col("t")
+    return _titles(spark, d).select("Id", F.array_join(text.drop_similar_words(tokens, 0.8), " ").alias("tokens"))
 
 
-@query("filter_most_common_tokens")
+@query(
+    "filter_most_common_tokens",
+    f"""WITH q AS (SELECT row_number() OVER () AS k, Id, t FROM ({_TITLES})), w AS (SELECT k, len(t) AS size, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM q),
+    r AS (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, w) AS r FROM w GROUP BY k, w), s AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS tokens FROM w JOIN r USING (k, w) WHERE r > 2 OR size <= 10 GROUP BY 1)
+    SELECT Id, coalesce(tokens, '') AS tokens FROM q LEFT JOIN s USING (k)""",
+)
 def filter_most_common_tokens(spark, d):
-    tokens = F.split(F.lower("Title"), r"\s+")
-    return load(spark, d, "questions").filter("Title is not null").select("Id", F.array_join(text.drop_most_common(tokens, 2), " ").alias("tokens"))
+    tokens = F.col("t")
+    return _titles(spark, d).select("Id", F.array_join(text.drop_most_common(tokens, 2), " ").alias("tokens"))
 
 
 @query("mean_token_length", f"SELECT doc_id, round(list_sum([length(x) for x in t])::DOUBLE / nullif(len(t), 0), 6) AS mean_length FROM ({_TOKENS})")
@@ -110,7 +127,20 @@ def compute_domain_words_window(spark, d):
     return _tokens(spark, d).select("doc_id", F.round(text.window_of(F.col("t"), ["the", "and"]), 6).alias("span"))
 
 
-@query("text_normalizer")
+# the stages one after another, each over the list of the one before
+_NORMAL = [
+    r"[regexp_replace(x, '[\p{Nd}²³¹⁰⁴-⁹₀-₉]', '', 'g') for x in t if x NOT IN ('c++', 'c#')]",
+    r"[x for x in t if regexp_replace(x, '[\s\p{Z}\x0b\x{85}\x1c-\x1f]', '', 'g') <> '' AND NOT regexp_full_match(x, '\p{L}?')]",
+    r"[z for z in flatten([regexp_split_to_array(trim(regexp_replace(x, '[^0-9a-zA-Z]+', ' ', 'g')), ' +') for x in t]) if z <> '']",
+    "[x for x in t if len([i for i in range(1, length(x) - 1) if x[i] = x[i + 1] AND x[i + 1] = x[i + 2]]) = 0]",
+    rf"[x for x in t if NOT regexp_full_match(x, '\p{{L}}?') AND x NOT IN ({_STOP})]",
+]
+_NORMAL_SQL = f"SELECT doc_id, t AS whole, t FROM ({_TOKENS})"
+for _stage in _NORMAL:
+    _NORMAL_SQL = f"SELECT doc_id, whole, {_stage} AS t FROM ({_NORMAL_SQL})"
+
+
+@query("text_normalizer", f"SELECT doc_id, array_to_string(list_concat(t, [x for x in whole if x IN ('c++', 'c#')]), ' ') AS tokens FROM ({_NORMAL_SQL})")
 def text_normalizer(spark, d):
     return _tokens(spark, d).select("doc_id", F.array_join(text.normalize(F.col("t"), domain=["c++", "c#"]), " ").alias("tokens"))
 
@@ -125,7 +155,11 @@ def stemmerize(spark, d):
     return _tokens(spark, d).select("doc_id", F.array_join(text.stems(F.col("t")), " ").alias("tokens"))
 
 
-@query("filter_html_tags")
+@query(
+    "filter_html_tags",
+    """SELECT Id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(Body, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '</?[a-zA-Z][^<>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS body FROM questions""",
+)
 def filter_html_tags(spark, d):
     return load(spark, d, "questions").select("Id", html.strip_html(F.col("Body")).alias("body"))
 
@@ -175,10 +209,15 @@ def read_int_cleaner(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.reverse(scalars.group_thousands(F.col("o_orderkey"))).alias("back"))
 
 
-@query("build_target_representative_lexicon")
+@query(
+    "build_target_representative_lexicon",
+    """WITH q AS (SELECT Id, min({'a': Tags, 'b': Title}) AS v FROM questions WHERE Id IS NOT NULL AND Tags IS NOT NULL AND Title IS NOT NULL GROUP BY 1), c AS (SELECT target, token, count(*) AS n FROM (SELECT v.a AS target, unnest(string_split(lower(v.b), ' ')) AS token FROM q) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY n DESC, token) AS r, count(*) OVER (PARTITION BY target) AS k, sum(n) OVER (PARTITION BY target) AS total FROM c)
+    SELECT arg_min(target, (-total, target)) AS target, token, arg_min(n, (-total, target)) AS n FROM r WHERE r <= greatest(ceil(k * 0.25), 1) GROUP BY token""",
+)
 def build_target_representative_lexicon(spark, d):
-    df = load(spark, d, "questions").dropDuplicates(["Id"]).filter("Tags is not null and Title is not null")
-    return text.lexicon_by_target(df.select("Tags", F.split(F.lower("Title"), r"\s+").alias("t")), "Tags", "t")
+    df = load(spark, d, "questions").filter("Id is not null and Tags is not null and Title is not null").groupBy("Id").agg(F.min(F.struct("Tags", "Title")).alias("r")).select("r.*")
+    return text.lexicon_by_target(df.select("Tags", F.split(F.lower("Title"), " ").alias("t")), "Tags", "t")
 
 
 @query("location_fields", """SELECT OSEBuildingID, (regexp_extract(Location, '[''"]latitude[''"]: [''"]?(-?[0-9.]+)', 1))::DOUBLE AS latitude, nullif(regexp_extract(Location, 'zip[^0-9]+([0-9]+)', 1), '') AS zip FROM benchmarking_2015 WHERE Location IS NOT NULL""")
