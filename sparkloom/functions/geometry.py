@@ -70,6 +70,78 @@ def hull_of(points: Column) -> Column:
     return _hull_of(points)
 
 
+def clip(subject: Sequence[tuple[float, float]], window: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The hull of what two convex, counter-clockwise, closed rings have in common: a closed ring, two points, one or none."""
+    out = list(subject[:-1])
+    for (ax, ay), (bx, by) in zip(window, window[1:]):
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
+        kept = []
+        for i, (p, s) in enumerate(zip(out, side)):
+            q, t = out[i - 1], side[i - 1]
+            if s * t < 0:
+                kept.append((q[0] + (p[0] - q[0]) * t / (t - s), q[1] + (p[1] - q[1]) * t / (t - s)))
+            if s >= 0:
+                kept.append(p)
+        out = kept
+    return hull(out)
+
+
+@F.pandas_udf(RING)
+def _overlap(left: pd.Series, right: pd.Series) -> pd.Series:
+    def one(a, b):
+        pairs = [[(p["x"], p["y"]) for p in ring] for ring in (a, b)]
+        return [{"x": x, "y": y} for x, y in clip(*pairs)]
+
+    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(left, right)])
+
+
+def convex_overlap(a: Column, b: Column) -> Column:
+    """The shared part of two convex outlines as made by ``hull_of``."""
+    return _overlap(a, b)
+
+
+def rings_of(edges: Sequence[tuple[tuple, tuple]]) -> list[list[tuple]]:
+    """Edges without direction chained to closed rings, each begun at its least point; edges that close no ring are left out."""
+    at: dict[tuple, list[tuple]] = {}
+    for a, b in sorted(edges):
+        at.setdefault(a, []).append(b)
+        at.setdefault(b, []).append(a)
+    out = []
+    for start in sorted(at):
+        while at[start]:
+            ring, here = [start], start
+            while at[here]:
+                there = min(at[here])
+                at[here].remove(there)
+                at[there].remove(here)
+                ring.append(there)
+                here = there
+                if here == start:
+                    break
+            if len(ring) > 3 and ring[0] == ring[-1]:
+                out.append(ring)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(RING))
+def _chain(lists: pd.Series) -> pd.Series:
+    def one(es):
+        return [[{"x": x, "y": y} for x, y in ring] for ring in rings_of([((e["a"]["x"], e["a"]["y"]), (e["b"]["x"], e["b"]["y"])) for e in es])]
+
+    return lists.map(lambda es: None if es is None else one(es))
+
+
+def chain(edges: Column) -> Column:
+    """Arrays of edges (a, b) as closed rings."""
+    return _chain(edges)
+
+
+def kind(points: Column) -> Column:
+    """POLYGON, LINESTRING or POINT, as ``wkt`` writes it; null for none."""
+    closed = (F.size(points) >= 4) & (F.element_at(points, 1) == F.element_at(points, -1))
+    return F.when(F.size(points) < 1, F.lit(None)).when(closed, "POLYGON").when(F.size(points) > 1, "LINESTRING").otherwise("POINT")
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,15 @@ def group_thousands(number: Column, compat: bool = False) -> Column:
     return F.concat(F.regexp_replace(whole, ahead, " "), rest)
 
 
+def largest_of(values: Mapping[str, Column]) -> Column:
+    """The name of the largest value (ties the first named), null where none is above zero."""
+    most = F.greatest(*values.values())
+    out = F.lit(None).cast("string")
+    for name, value in reversed(values.items()):
+        out = F.when(value == most, name).otherwise(out)
+    return F.when(most > 0, out)
+
+
 def replace_words(text: Column, translator: Mapping[str, str]) -> Column:
     """Each key replaced by its value: one pass where all keys are single characters, else key after key."""
     if all(len(k) == 1 and len(v) == 1 for k, v in translator.items()):
@@ -123,6 +134,50 @@ def lambert93(lat: Column, lon: Column) -> tuple[Column, Column]:
     return xs + r * F.sin(g), ys - r * F.cos(g)
 
 
+def from_lambert93(x: Column, y: Column) -> tuple[Column, Column]:
+    """Lambert-93 metres back to WGS 84 degrees (lat, lon)."""
+    # The GRS 80 ellipsoid and the parameters of the projection
+    e, n, c, xs, ys, lon0 = 0.08181919112, 0.7256077650, 11754255.426, 700000.0, 12655612.050, 3.0
+    r = F.sqrt(F.pow(x - xs, 2) + F.pow(y - ys, 2))
+    lift = F.exp(-F.log(r / c) / n)
+
+    def step(phi: Column, _: Column) -> Column:
+        return 2 * F.atan(F.pow((1 + e * F.sin(phi)) / (1 - e * F.sin(phi)), e / 2) * lift) - math.pi / 2
+
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(8)), 2 * F.atan(lift) - math.pi / 2, step)
+    return F.degrees(lat), lon0 + F.degrees(F.atan((x - xs) / (ys - y))) / n
+
+
+@F.pandas_udf("double")
+def _vincenty(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    a, f, rounds = 6378137.0, 1 / 298.257223563, 12  # Fixed values: the WGS 84 ellipsoid
+    b = a * (1 - f)
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(p.to_numpy(float)))) for p in (lat1, lat2))
+    su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    across = np.radians(lon2.to_numpy(float) - lon1.to_numpy(float))
+    lam = across
+    for left in range(rounds, -1, -1):
+        ss = np.hypot(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam))
+        cs = su1 * su2 + cu1 * cu2 * np.cos(lam)
+        sa = np.divide(cu1 * cu2 * np.sin(lam), ss, out=np.zeros_like(ss), where=ss != 0)
+        c2a = 1 - sa * sa
+        cm = cs - np.divide(2 * su1 * su2, c2a, out=np.zeros_like(ss), where=c2a != 0)
+        if left:
+            c = f / 16 * c2a * (4 + f * (4 - 3 * c2a))
+            lam = across + (1 - c) * f * sa * (np.arctan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+    u = c2a * (a * a - b * b) / (b * b)
+    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    delta = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+    return pd.Series(b * big * (np.arctan2(ss, cs) - delta))
+
+
+def vincenty(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str = "m") -> Column:
+    """Distance along the WGS 84 ellipsoid by twelve rounds of Vincenty's iteration, 0 for equal points; not for points on opposite
+    sides of the globe. Rounds feed into each other, which as one Column expression would grow with every round: numpy in Arrow batches."""
+    return _vincenty(*[c.cast("double") for c in (lat1, lon1, lat2, lon2)]) / (1000 if unit == "km" else 1)
+
+
 def parse_address(text: Column) -> Column:
     """A location text in any of its notations (JSON, or the same with single quotes and a nested JSON text) as a struct
     latitude, longitude, address, city, state, zip; null where nothing can be read."""

@@ -38,6 +38,11 @@ def tokenize_words(text: Column, lower: bool = False) -> Column:
     return _treebank(F.lower(text) if lower else text)
 
 
+def identity_tokens(tokens: Column) -> Column:
+    """Tokens as they are: the tokenizer of texts that are lists already."""
+    return tokens
+
+
 def drop_digits(tokens: Column) -> Column:
     """Digits taken out of tokens; tokens that become blank are dropped."""
     return F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]", "")), lambda t: F.regexp_replace(t, r"[\s\p{Z}\x0b\x85\x1c-\x1f]", "") != "")

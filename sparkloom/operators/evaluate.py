@@ -135,3 +135,8 @@ def predicted_labels(scores: Column, names: list[str], upper: bool = False) -> C
     named = F.zip_with(scores, F.array(*map(F.lit, names)), lambda s, n: F.when(s > 0.5, n))
     out = F.array_distinct(F.filter(named, lambda n: n.isNotNull()))
     return F.transform(out, lambda n: F.upper(n)) if upper else out
+
+
+def model_name(model) -> str:
+    """The class name of an estimator or model."""
+    return type(model).__name__

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import geometry
+from sparkloom.operators.quantiles import column_quantiles
 
 
 def coordinate_columns(df: DataFrame) -> list[str]:
@@ -101,6 +102,54 @@ def overlapping_boxes(df: DataFrame, key: str, ring: str, cell: float) -> DataFr
     return both.select(F.col(key).alias("a"), F.col(f"_{key}").alias("b")).distinct()
 
 
+def intersections(df: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
+    """a, b, owner, kind (POLYGON or LINESTRING), part: what two convex outlines have in common, where that is more than a point.
+
+    Pairs come from ``overlapping_boxes``; the shared part is then clipped exactly. owner is the outline with more points, b at
+    equality. Outlines of fewer than three points have no inside and take no part.
+    """
+    solid = df.filter(F.size(ring) >= 4).select(F.col(key), F.col(ring))
+    pairs = overlapping_boxes(solid, key, ring, cell)
+    both = pairs.join(solid.select(F.col(key).alias("a"), F.col(ring).alias("_ra")), "a").join(solid.select(F.col(key).alias("b"), F.col(ring).alias("_rb")), "b")
+    part = both.withColumn("part", geometry.convex_overlap(F.col("_ra"), F.col("_rb"))).filter(F.size("part") > 1)
+    return part.select("a", "b", F.when(F.size("_ra") > F.size("_rb"), F.col("a")).otherwise(F.col("b")).alias("owner"), geometry.kind(F.col("part")).alias("kind"), "part")
+
+
+def _edges(df: DataFrame, key: str, ring: str) -> DataFrame:
+    """key, lo, hi: the boundary edges of closed rings, without direction."""
+    e = df.select(F.col(key), F.explode(geometry.edges(F.col(ring))).alias("_e")).filter("_e.a <> _e.b")
+    return e.select(key, F.least("_e.a", "_e.b").alias("lo"), F.greatest("_e.a", "_e.b").alias("hi"))
+
+
+def dissolve(polygons: DataFrame, key: str, ring: str) -> DataFrame:
+    """key, ring: the outlines of the union of each key's polygons, one row per ring; rows with a null key are left out.
+
+    For polygons that meet in whole edges, as the cells of a partition of the plane do: an edge that two of them share is inside and
+    goes, the others are chained. Edges cancel map-side; what meets in a task is the outline of a key.
+    """
+    odd = _edges(polygons.filter(F.col(key).isNotNull()), key, ring).groupBy(key, "lo", "hi").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
+    chained = odd.groupBy(key).agg(geometry.chain(F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).alias("_r"))
+    return chained.select(key, F.explode("_r").alias("ring"))
+
+
+def common_limits(left: DataFrame, right: DataFrame, key: str, other: str, ring: str) -> DataFrame:
+    """key, other, length: the boundary that polygons of both sides share in whole edges."""
+    a, b = _edges(left, key, ring), _edges(right, other, ring)
+    shared = a.join(b, ["lo", "hi"]).groupBy(key, other).agg(F.sum(geometry.distance(F.col("lo"), F.col("hi"))).alias("length"))
+    return shared
+
+
+def largest_common_limit(uncovered: DataFrame, known: DataFrame, key: str, other: str, ring: str) -> DataFrame:
+    """key, other, length of every uncovered polygon: the known one it shares most boundary with (ties the smallest), nulls if none."""
+    best = common_limits(uncovered, known, key, other, ring).groupBy(key).agg(F.min(F.struct((-F.col("length")).alias("n"), other)).alias("m"))
+    return uncovered.select(key).join(best.select(key, F.col(f"m.{other}").alias(other), (-F.col("m.n")).alias("length")), key, "left")
+
+
+def split_by_key(df: DataFrame, key: str) -> dict[str, DataFrame]:
+    """passed: rows without the key (no common limit); failed: rows with one."""
+    return {"passed": df.filter(F.col(key).isNull()), "failed": df.filter(F.col(key).isNotNull())}
+
+
 def outlier_scores(df: DataFrame, key: str, cell: float, k: int = 5) -> DataFrame:
     """key, score: distance to the k-th nearest other point within a cell's reach (null, meaning far, where there are fewer).
 
@@ -112,3 +161,10 @@ def outlier_scores(df: DataFrame, key: str, cell: float, k: int = 5) -> DataFram
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "_other"))
     kth = pairs.withColumn("_r", rank).filter(F.col("_r") == k).select(key, F.col("distance").alias("score"))
     return df.join(kth, key, "left")
+
+
+def filter_outliers(df: DataFrame, key: str, cell: float, k: int = 5, quantile: float = 0.9) -> DataFrame:
+    """Without the points whose score is above that quantile of all scores; points without a score (nothing near) are outliers too."""
+    scored = outlier_scores(df, key, cell, k)
+    cut = column_quantiles(scored, {"_cut": F.col("score")}, [quantile])
+    return scored.join(F.broadcast(cut)).filter(F.col("score") <= F.col("_cut")[0]).drop("_cut")  # one row

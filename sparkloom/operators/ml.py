@@ -115,13 +115,23 @@ def pca(df: DataFrame, columns: list[str], k: int | None = None):
     return model, model.transform(vectors).withColumn("components", vector_to_array("_pc")).drop("_pc", "features")
 
 
+def max_components(columns: int, rows: int) -> int:
+    """The most components that so many columns and rows allow."""
+    return min(columns, rows - 1)
+
+
+def topic_of(shares: Column) -> Column:
+    """The most likely topic of an array of topic shares, from 1; ties the first."""
+    return F.array_position(shares, F.array_max(shares)).cast("int")
+
+
 def explained(spark, model) -> DataFrame:
     """component, ratio, cumulative of a PCA model."""
     ratios = [float(x) for x in model.explainedVariance]
     return spark.createDataFrame([(i + 1, r, float(sum(ratios[: i + 1]))) for i, r in enumerate(ratios)], "component int, ratio double, cumulative double")
 
 
-def tfidf(df: DataFrame, tokens: str, min_df: int = 1, vocabulary: int = 1 << 18):
+def tfidf(df: DataFrame, tokens: str, min_df: int = 1, vocabulary: int = 1 << 30):
     """(pipeline model, df with ``features``): counts times smooth idf ln((1 + n) / (1 + df)) + 1, rows of length one.
 
     Spark's idf is ln((n + 1) / (df + 1)); the + 1 is the count itself, added before the rows are normalised.
@@ -161,10 +171,10 @@ def low_idf_words(df: DataFrame, tokens: str, threshold: float = 0.95, keep: Ite
     return counts.orderBy(F.desc("df"), "term").limit(round(n - n * threshold)).filter(~F.col("term").isin(*keep) if keep else F.lit(True))
 
 
-def vocabulary_ranks(df: DataFrame, tokens: str, limit: int = 1_000_000) -> DataFrame:
-    """term, index: terms by falling frequency from 1, ties by term. Of at most ``limit`` terms, so that the order needs no global window over all."""
+def vocabulary_ranks(df: DataFrame, tokens: str) -> DataFrame:
+    """term, index: every term by falling frequency from 1, ties by term; numbered by range partitions, without a global window."""
     counts = df.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return with_row_number(counts, "index", [F.desc("n"), F.col("term")]).filter(F.col("index") < limit).select("term", (F.col("index") + 1).cast("long").alias("index"))
+    return with_row_number(counts, "index", [F.desc("n"), F.col("term")]).select("term", (F.col("index") + 1).cast("long").alias("index"))
 
 
 def to_sequences(df: DataFrame, key: str, tokens: str, ranks: DataFrame, length: int) -> DataFrame:
@@ -176,13 +186,12 @@ def to_sequences(df: DataFrame, key: str, tokens: str, ranks: DataFrame, length:
     return df.select(key).join(lists, key, "left").select(key, F.concat(F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.size(cut)), cut).alias("sequence"))
 
 
-def topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, seed: int = 42, vocabulary: int = 20_000, min_df: int = 2):
+def topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, seed: int = 42, vocabulary: int = 1 << 30, min_df: int = 2):
     """(vectoriser, LDA model, df with topic): topic is the most likely one, from 1."""
     counts = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary, minDF=min_df).fit(df)
     x = counts.transform(df)
     model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(x)
-    share = vector_to_array("topicDistribution")
-    return counts, model, model.transform(x).withColumn("topic", F.array_position(share, F.array_max(share)).cast("int")).drop("features", "topicDistribution")
+    return counts, model, model.transform(x).withColumn("topic", topic_of(vector_to_array("topicDistribution"))).drop("features", "topicDistribution")
 
 
 def topic_words(vectoriser, model, n: int = 10) -> DataFrame:
@@ -203,7 +212,7 @@ def topic_word_shares(model) -> np.ndarray:
 def search_topics(df: DataFrame, tokens: str, ks: Iterable[int], seed: int = 42) -> list[tuple[int, float]]:
     """(k, log perplexity) of topic counts, best (least) first."""
     out = []
-    counts = CountVectorizer(inputCol=tokens, outputCol="features", minDF=2).fit(df)
+    counts = CountVectorizer(inputCol=tokens, outputCol="features", minDF=2, vocabSize=1 << 30).fit(df)
     x = counts.transform(df).persist()
     for k in ks:
         out.append((k, float(LDA(k=k, maxIter=10, seed=seed).fit(x).logPerplexity(x))))

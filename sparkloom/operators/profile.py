@@ -83,6 +83,11 @@ def shape(df: DataFrame, column: str) -> DataFrame:
     return out.select(skew.alias("skew"), kurt.alias("kurtosis"))
 
 
+def univariate(df: DataFrame, column: str, measure: str = "c") -> DataFrame:
+    """Central tendency (c), dispersion (d) or shape (s) of a column; KeyError for another measure."""
+    return {"c": central_tendency, "d": dispersion, "s": shape}[measure](df, column)
+
+
 def percentage_change(old: Column, new: Column, precision: int = 2) -> Column:
     """Percent change from old to new; null where old is zero."""
     return F.round(F.try_divide((new - old) * 100.0, old), precision)
@@ -105,6 +110,11 @@ def group_medians(df: DataFrame, category: str, columns: Iterable[str]) -> DataF
     return names.join(made, "c", "left").withColumnRenamed("c", category)
 
 
+def group_means(df: DataFrame, category: str, columns: Iterable[str]) -> DataFrame:
+    """Mean of each numeric column by category (centroids); rows without a category are left out."""
+    return df.filter(F.col(category).isNotNull()).groupBy(category).agg(*[F.avg(c).alias(c) for c in columns])
+
+
 def value_counts(df: DataFrame, column: str, precision: int = 1, top: int | None = None) -> DataFrame:
     """value, n, percent (of all rows that are not null), most frequent first by n desc, value asc when ``top`` is given."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))

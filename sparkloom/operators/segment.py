@@ -136,3 +136,32 @@ def stratified_by_frequency(df: DataFrame, frequency: str, key: str, fractions:
     stratum = F.when(F.col(frequency) == 1, fractions[0]).when(F.col(frequency) == 2, fractions[1]).when(F.col(frequency) > 2, fractions[2]).otherwise(0.0)
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return df.filter(drawn < stratum)
+
+
+def list_lengths(df: DataFrame, customer: str, order: str, value: str, name: str) -> DataFrame:
+    """Rows joined on the customer with the number of values of each of their orders: a row comes once per order of its customer."""
+    sizes = df.groupBy(customer, order).agg(F.count(F.lit(1)).alias(name)).select(F.col(customer).alias("_c"), name)
+    return df.join(sizes, F.col(customer).eqNullSafe(F.col("_c")), "left").drop("_c")
+
+
+def positive_rows(df: DataFrame, columns: list[str], shifted: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with every column above zero; the shifted columns are taken as one more than they are, and come back unchanged."""
+    keep = reduce(lambda a, b: a & b, [(F.col(c) + (1 if c in shifted else 0)) > 0 for c in columns])
+    return df.filter(keep)
+
+
+def median_zero_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns whose exact median is 0."""
+    row = column_quantiles(df, {f"_{i}": F.col(c) for i, c in enumerate(columns)}, [0.5]).head()
+    return [c for c, q in zip(columns, row) if q is not None and q[0] == 0]
+
+
+def label_rows(df: DataFrame, key: str, labels: DataFrame, label_key: str, label: str, name: str = "cluster") -> DataFrame:
+    """Adds the label of a row's key (the smallest where a key has several), null where there is none."""
+    one = labels.groupBy(F.col(label_key).alias("_k")).agg(F.min(label).alias(name))
+    return df.join(one, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def entity_counts(df: DataFrame, labels: str) -> DataFrame:
+    """label, n over all rows' arrays of labels."""
+    return df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))

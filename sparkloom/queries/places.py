@@ -64,14 +64,26 @@ def get_geometry_nearest_neighbors(spark, d):
     return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("near"), F.round(F.min("distance"), 9).alias("nearest"))
 
 
-@query("filter_outliers")
+@query(
+    "filter_outliers",
+    f"""WITH p AS ({_POINTS}), d AS (SELECT a.id, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) AS d, b.id AS other FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 0.05 AND abs(a.y - b.y) <= 0.05),
+    s AS (SELECT id, d AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM d WHERE d <= 0.05) WHERE r = 3)
+    SELECT id, round(score, 9) AS score FROM s WHERE score <= (SELECT quantile_cont(score, 0.9) FROM s)""",
+)
 def filter_outliers(spark, d):
-    return geo.outlier_scores(_points(spark, d), "id", 0.05, 3).select("id", "score")
+    return geo.filter_outliers(_points(spark, d), "id", 0.05, 3, 0.9).select("id", F.round("score", 9).alias("score"))
 
 
 @query("get_geometry_intersections")
 def get_geometry_intersections(spark, d):
-    return geo.overlapping_boxes(geo.outlines(_points(spark, d), "area"), "area", "outline", 0.1)
+    out = geo.intersections(geo.outlines(_points(spark, d), "area"), "area", "outline", 0.1)
+    return out.select("a", "b", "owner", "kind", F.round(geometry.area(F.col("part")), 9).alias("size"))
+
+
+@query("overlapping_boxes", f"""WITH p AS (SELECT DISTINCT OSEBuildingID, upper(trim(replace(Neighborhood, chr(10), ''))) AS area, Longitude AS x, Latitude AS y FROM benchmarking_2016 WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL AND Neighborhood IS NOT NULL),
+    b AS (SELECT area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY 1) SELECT a.area AS a, b.area AS b FROM b a JOIN b ON a.area < b.area AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def overlapping_boxes(spark, d):
+    return geo.overlapping_boxes(geo.outlines(_points(spark, d).withColumn("area", F.upper("area")), "area"), "area", "outline", 0.1)
 
 
 @query("transform_polygons_as_lines")

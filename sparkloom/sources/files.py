@@ -17,12 +17,23 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def list_paths(folder: str, suffix: str = ".csv") -> list[str]:
+    """Paths in a folder of any file system that Spark reads (of the local disk without a session), by name."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return sorted(glob.glob(os.path.join(glob.escape(folder), f"*{suffix}")))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+    return sorted(f"{folder.rstrip('/')}/{name}" for name in found if name.endswith(suffix) and not name.startswith(("_", ".")))
+
+
 def find_csv(keyword: str, folder: str) -> str:
     """The first CSV (by name) of a folder whose path holds the keyword.
 
     Raises FileNotFoundError when there is none.
     """
-    hits = sorted(p for p in glob.glob(os.path.join(folder, "*.csv")) if keyword in p)
+    hits = [p for p in list_paths(folder) if keyword in p]
     if not hits:
         raise FileNotFoundError(f"no CSV in {folder} matches {keyword!r}")
     return hits[0]
@@ -40,13 +51,13 @@ def _first_number(path: str) -> tuple[int, str]:
     return (int(found.group()) if found else -1, path)
 
 
-def concat_files(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None, fraction: float | None = None, seed: int = 42, sort: bool = True) -> DataFrame:
+def concat_files(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None, fraction: float | None = None, seed: int = 42, sort: bool = True, schema: StructType | str | None = None) -> DataFrame:
     """All CSV files of a folder united by column name, missing columns null.
 
     Files are ordered by the first number in their own name (not in the folder's); ``first`` / ``last``
     keep so many files from either end, ``fraction`` samples rows with a seed.
     """
-    paths = glob.glob(os.path.join(folder, "*.csv"))
+    paths = list_paths(folder)
     paths = sorted(paths, key=_first_number) if sort else paths
     if first is not None:
         paths = paths[:first]
@@ -54,7 +65,7 @@ def concat_files(spark: SparkSession, folder: str, first: int | None = None, las
         paths = paths[-last:] if last else []
     if not paths:
         raise FileNotFoundError(f"no CSV files to read in {folder}")
-    frames = [read_csv(spark, p) for p in paths]
+    frames = [read_csv(spark, p, schema) for p in paths]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
