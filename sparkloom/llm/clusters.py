@@ -1,20 +1,22 @@
-"""Clusters of similar records by bisecting k-means, any shape, with isolated records left out.
+"""Clusters of similar records by bisecting k-means; dense groups of any shape as chains of its leaves.
 
-Bisecting k-means: one node holds all points; every node wider than the compactness limit is split in two,
-the widest being the first that must be, until no node is left to split. Nodes of one level do not touch each other, so a whole
-level is split in one pass. A pass assigns the points along the tree and sums, per node, count, mean, covariance and
-radius inside the task; a node starts from its principal axis and is refined by Lloyd steps. Leaves are compact
-balls, so groups of any shape are chains of leaves: leaves whose centres are within the link distance belong together.
-Gaps between groups are wider than the link distance, or there would be no clear gap.
+1. Bisecting k-means divides the points into compact leaves. All points are one node; the node of the largest dispersion
+   is split in two, again and again, until every node keeps the compactness limit. Nodes of more than ``per_task`` points are split
+   across the cluster: a round splits the ``per_round`` nodes of largest dispersion among them, in two passes that sum, per node, count, mean,
+   covariance and radius inside the tasks. Smaller nodes are each sent to one task as a whole, which goes on splitting them, the
+   one of largest dispersion first. Points of nodes that are done take no further part.
+2. Leaves are the clusters of bisecting k-means: ``describe_leaves`` reports their sizes and the members nearest to their centres.
+3. A separate step on the leaves: those whose centres are within the link distance belong to one group, since a plain
+   bisecting k-means cuts long or bent groups. Groups are separated by gaps wider than the link distance, or there would be no clear gap.
 
 Bounds: whether a leaf is dense does not depend on the number of rows, so a group is found in a large table as in a small
-one. The tree is bounded by the space the points take: leaves stop at the compactness limit, so their number is about that of
-the balls of that radius that hold points, and never more than rows / ``min_count`` nodes are split in one level. It is held by
-the driver and every task, and a pass returns one row per open node and task. Rows are only ever read in passes.
+one. The number of leaves is about that of the balls of the compactness limit that hold points; they are held by the driver and every task,
+rows never are. A task of the second kind holds ``per_task`` points at most.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +26,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import materialise
+
+PER_TASK = 20_000
+PER_ROUND = 1024
+_LOCAL = 20  # bits of a leaf's number below those of the node it lies in
 
 @dataclass
 class Tree:
@@ -93,46 +100,116 @@ def _runs(sorted_codes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(edges[:-1], edges[1:])
 
 
-def bisect(points: DataFrame, radius: float, min_count: int = 4, lloyd: int = 2, max_levels: int = 64) -> tuple[Tree, dict[int, tuple]]:
-    """(tree, statistics of its leaves) of bisecting k-means over all columns of ``points`` (doubles, no nulls).
+def _halves(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres to start from, on either side of the mean along the principal axis."""
+    values, axes = np.linalg.eigh(cov)
+    step = axes[:, -1] * np.sqrt(max(values[-1], 1e-18)) * 0.8
+    return mean - step, mean + step
 
-    A node is split while its farthest point is more than ``radius`` from its centre and it holds at least
-    ``min_count`` points. An empty input gives a tree of one empty leaf.
-    """
+
+def bisect_local(x: np.ndarray, radius: float, min_count: int, lloyd: int = 2) -> np.ndarray:
+    """Leaf number of each point, by bisecting k-means in memory: the node of the largest dispersion is split first."""
+    leaf = np.zeros(len(x), np.int64)
+    heap: list[tuple] = []
+    made = 0
+
+    def push(number: int, index: np.ndarray) -> None:
+        if len(index) < min_count:
+            return
+        mean = x[index].mean(0)
+        d = x[index] - mean
+        square = (d * d).sum(1)
+        if square.max() > radius * radius:
+            heapq.heappush(heap, (-square.sum(), number, index, mean, d.T @ d / len(index)))
+
+    push(0, np.lexsort(x.T))
+    while heap:
+        _, number, index, mean, cov = heapq.heappop(heap)
+        a, b = _halves(mean, cov)
+        points = x[index]
+        for step in range(lloyd + 1):
+            left = ((points - a) ** 2).sum(1) <= ((points - b) ** 2).sum(1)
+            if left.all() or not left.any():
+                break
+            if step < lloyd:
+                a, b = points[left].mean(0), points[~left].mean(0)
+        if left.all() or not left.any():
+            continue  # points that cannot be told apart
+        made += 1
+        leaf[index[~left]] = made
+        push(number, index[left])
+        push(made, index[~left])
+    return leaf
+
+
+def _split_large(points: DataFrame, radius: float, min_count: int, per_task: int, per_round: int) -> tuple[Tree, set[int]]:
+    """(tree, its leaves that still must be split): nodes of more than ``per_task`` points split across the cluster until compact."""
     dims = len(points.columns)
     tree = Tree(np.zeros((1, dims)), np.array([-1]), np.array([-1]))
     stats = _pass(points, tree, {0}, dims)
     if 0 not in stats:
-        return tree, {}
+        return tree, set()
     tree.centre[0] = stats[0][1]
-    stats |= _pass(points, tree, {0}, dims)
-    for _ in range(max_levels):
-        split = [n for n, (count, _, _, far) in stats.items() if tree.left[n] < 0 and n not in tree.closed and far > radius * radius and count >= min_count]
-        if not split:
-            break
-        split.sort(key=lambda n: -np.trace(stats[n][2]) * stats[n][0])  # the largest dispersion first
+    stats = _pass(points, tree, {0}, dims)
+
+    def wide(n: int) -> bool:
+        return tree.left[n] < 0 and n not in tree.closed and stats[n][3] > radius * radius and stats[n][0] >= min_count
+
+    while True:
+        large = [n for n in stats if wide(n) and stats[n][0] > per_task]
+        if not large:
+            return tree, {n for n in stats if wide(n)}
+        large.sort(key=lambda n: (-np.trace(stats[n][2]) * stats[n][0], n))  # the largest dispersion first
+        split = large[:per_round]
         at, halves = len(tree.left), []
         tree.left, tree.right = (np.r_[side, np.full(2 * len(split), -1)] for side in (tree.left, tree.right))
         for n in split:
-            _, mean, cov, _ = stats[n]
-            values, axes = np.linalg.eigh(cov)
-            step = axes[:, -1] * np.sqrt(max(values[-1], 1e-18)) * 0.8
-            halves += [mean - step, mean + step]
+            halves += _halves(stats[n][1], stats[n][2])
             tree.left[n], tree.right[n] = at, at + 1
             at += 2
         tree.centre = np.vstack([tree.centre, *halves])
         young = {int(c) for n in split for c in (tree.left[n], tree.right[n])}
-        for step in range(lloyd):
-            found = _pass(points, tree, young, dims)
-            for c in young & set(found):
-                tree.centre[c] = found[c][1]
+        for c, found in _pass(points, tree, young, dims).items():
+            tree.centre[c] = found[1]
         found = _pass(points, tree, young, dims)
         stats |= found
         for n in split:  # all points in one half: identical points, or a tie; no further split is possible
             a, b = int(tree.left[n]), int(tree.right[n])
             if a not in found or b not in found:
                 tree.closed |= {a, b}
-    return tree, {n: s for n, s in stats.items() if tree.left[n] < 0}
+
+
+def bisect(rows: DataFrame, names: list[str], radius: float, min_count: int = 4, per_task: int = PER_TASK, per_round: int = PER_ROUND) -> DataFrame:
+    """id, the features ``names`` (doubles, no nulls) and the leaf of every row of ``rows`` (id and features), by bisecting k-means.
+
+    A node is split while its farthest point is more than ``radius`` from its centre and it holds at least
+    ``min_count`` points. An empty input gives no rows.
+    """
+    tree, wide = _split_large(rows.select(*names), radius, min_count, per_task, per_round)
+    shipped = rows.sparkSession.sparkContext.broadcast((tree.centre, tree.left, tree.right))  # nodes of the tree, no rows
+    open_nodes = np.array(sorted(wide), np.int64)
+
+    def place(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = Tree(*shipped.value)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+                node = tree.assign(points)
+                mine = np.isin(node, open_nodes) == inside
+                kept = batch.filter(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(node[mine] << _LOCAL)], [*kept.schema.names, "leaf"])
+
+        return run
+
+    def split(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table[n].to_numpy() for n in names])
+        return table.set_column(table.schema.get_field_index("leaf"), "leaf", pa.array(table["leaf"].to_numpy() + bisect_local(x, radius, min_count)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", leaf long"
+    done = rows.mapInArrow(place(False), schema)
+    return done.unionAll(rows.mapInArrow(place(True), schema).groupBy("leaf").applyInArrow(split, schema))
 
 
 def link_leaves(centres: np.ndarray, weights: np.ndarray, link: float) -> np.ndarray:
@@ -158,15 +235,15 @@ def link_leaves(centres: np.ndarray, weights: np.ndarray, link: float) -> np.nda
         for i in members:
             for j in np.array(near)[((centres[near] - centres[i]) ** 2).sum(1) <= link * link]:
                 root[find(i)] = find(int(j))
-    roots = np.array([find(i) for i in range(n)])
+    roots = np.array([find(i) for i in range(n)], np.int64)
     heavy = np.flatnonzero(np.bincount(roots, minlength=n))
     sums = np.bincount(roots, weights, n)
     heavy = sorted(heavy.tolist(), key=lambda r: (-sums[r], r))
     number = {r: k for k, r in enumerate(heavy)}
-    return np.array([number[r] for r in roots])
+    return np.array([number[r] for r in roots], np.int64)
 
 
-def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float = 0.15, link: float = 0.6, min_count: int = 4, min_cluster: int = 10) -> DataFrame:
+def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float = 0.15, link: float = 0.6, min_count: int = 4, min_cluster: int = 10, per_task: int = PER_TASK) -> DataFrame:
     """id, cluster, leaf, distance of every row; cluster is null for isolated rows.
 
     ``features`` are columns on comparable scales in which clusters are separated by gaps wider than ``link``.
@@ -180,42 +257,51 @@ def cluster(rows: DataFrame, id_col: str, features: list[Column], radius: float
     for n in names:
         data = data.withColumn(n, F.when(F.abs(F.col(n)) < float("inf"), F.nanvl(F.col(n), F.lit(None).cast("double"))))
     data = data.na.drop("any").persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks are computed again
-    tree, leaves = bisect(data.select(*names), radius, min_count)
-    schema = f"id {dict(data.dtypes)['id']}, cluster int, leaf int, distance double"
-    if not leaves:
-        return data.sparkSession.createDataFrame([], schema)
-    dense = [n for n, s in leaves.items() if s[0] >= min_count]
-    centres = np.array([leaves[n][1] for n in dense]).reshape(-1, len(names))
-    weights = np.array([leaves[n][0] for n in dense])
-    groups = link_leaves(centres, weights, link) if dense else np.zeros(0, int)
-    small = set(np.flatnonzero(np.bincount(groups, weights) < min_cluster).tolist()) if dense else set()
-    of_leaf = np.full(len(tree.left), -1, np.int64)
-    for n, g in zip(dense, groups):
-        of_leaf[n] = -1 if g in small else g
-    is_dense = np.zeros(len(tree.left), bool)
-    is_dense[dense] = True
-    model = data.sparkSession.sparkContext.broadcast((tree.centre, tree.left, tree.right, of_leaf, is_dense, centres, np.array([of_leaf[n] for n in dense], np.int64)))
+    placed = materialise(bisect(data, names, radius, min_count, per_task), "leaves")
+    data.unpersist()
+    found = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in names]).toArrow().sort_by("leaf")  # one row per leaf
+    leaves, weights = found["leaf"].to_numpy(), found["n"].to_numpy()
+    middle = np.column_stack([found[n].to_numpy() for n in names]).reshape(-1, len(names))
+    is_dense = weights >= min_count
+    groups = link_leaves(middle[is_dense], weights[is_dense], link)
+    small = np.bincount(groups, weights[is_dense], 1) < min_cluster
+    of_leaf = np.full(len(leaves), -1, np.int64)
+    of_leaf[is_dense] = np.where(small[groups], -1, groups)
+    model = placed.sparkSession.sparkContext.broadcast((leaves, middle, of_leaf, is_dense))  # one entry per leaf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *nodes, of_leaf, is_dense, centres, of_centre = model.value
-        tree = Tree(*nodes)
+        leaves, middle, of_leaf, is_dense = model.value
+        centres, of_centre = middle[is_dense], of_leaf[is_dense]
         cells: dict[tuple, list[int]] = {}  # only centres of the cells around a point can be within the link distance
         for i, cell in enumerate(map(tuple, np.floor(centres / link).astype(np.int64))):
             cells.setdefault(cell, []).append(i)
         around = np.stack(np.meshgrid(*[(-1, 0, 1)] * len(names)), -1).reshape(-1, len(names))
         for batch in batches:
-            points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]) if batch.num_rows else np.zeros((0, len(names)))
-            leaf = tree.assign(points)
-            found = of_leaf[leaf]
-            distance = np.sqrt(((points - tree.centre[leaf]) ** 2).sum(1))
-            for i in np.flatnonzero(~is_dense[leaf]) if len(centres) else ():
+            if not batch.num_rows:
+                continue
+            points = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            at = np.searchsorted(leaves, batch.column("leaf").to_numpy())
+            cluster = of_leaf[at]
+            distance = np.sqrt(((points - middle[at]) ** 2).sum(1))
+            for i in np.flatnonzero(~is_dense[at]) if len(centres) else ():
                 near = sorted(j for cell in map(tuple, np.floor(points[i] / link).astype(np.int64) + around) for j in cells.get(cell, ()))
                 d = ((centres[near] - points[i]) ** 2).sum(1)
                 if near and d.min() <= link * link:
-                    found[i] = of_centre[near[d.argmin()]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32(), mask=found < 0), pa.array(leaf, pa.int32()), pa.array(distance)], ["id", "cluster", "leaf", "distance"])
+                    cluster[i] = of_centre[near[d.argmin()]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cluster, pa.int32(), mask=cluster < 0), batch.column("leaf"), pa.array(distance)], ["id", "cluster", "leaf", "distance"])
+
+    return placed.mapInArrow(run, f"id {dict(placed.dtypes)['id']}, cluster int, leaf long, distance double")
 
-    return data.mapInArrow(run, schema)
+
+def describe_leaves(assigned: DataFrame, typical: int = 3) -> DataFrame:
+    """leaf, cluster, size, radius, members: each leaf of the bisecting k-means with the ``typical`` members nearest to its centre, ties by id.
+
+    cluster is the group most of its rows belong to (a row of a sparse leaf may belong to a neighbour's), null if they are isolated.
+    """
+    size = assigned.groupBy("leaf").agg(F.mode("cluster", True).alias("cluster"), F.count(F.lit(1)).alias("size"), F.max("distance").alias("radius"))
+    ranked = assigned.withColumn("rank", F.row_number().over(Window.partitionBy("leaf").orderBy("distance", "id"))).filter(F.col("rank") <= typical)
+    members = ranked.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("m"))
+    return size.join(members, "leaf").select("leaf", "cluster", "size", "radius", F.expr("transform(m, x -> x.id)").alias("members"))
 
 
 def describe(assigned: DataFrame, typical: int = 3) -> DataFrame:

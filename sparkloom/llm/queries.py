@@ -60,6 +60,10 @@ def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe(materialise(_customers(spark, folder), "clusters"))
 
 
+def p5_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.describe_leaves(materialise(_customers(spark, folder), "clusters")).withColumn("radius", F.round("radius", 6))
+
+
 QUESTION_FIELDS = {"Title": "text", "Body": "text"}
 
 
@@ -133,7 +137,7 @@ measured AS (
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p5_leaves": p5_leaves, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,12 +42,43 @@ def test_repeated_points_and_small_inputs(spark):
     assert run(spark, []) == {}
 
 
+def leaves_of(spark, points, per_task, radius=0.3):
+    names = ["a", "b", "c"]
+    rows = clusters.bisect(frame(spark, points).select("id", *names), names, radius, per_task=per_task, per_round=3).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r.leaf, []).append((r.a, r.b, r.c))
+    return {k: np.array(v) for k, v in out.items()}
+
+
 def test_leaves_respect_the_limit(spark):
     ring, inner, band = shapes()
-    df = frame(spark, ring + inner + band).select("a", "b", "c")
-    tree, leaves = clusters.bisect(df, 0.3)
-    assert sum(s[0] for s in leaves.values()) == 1400
-    assert all(s[3] <= 0.09 + 1e-9 or s[0] < 4 for s in leaves.values())
+    for per_task in (100, 100_000):  # split across the cluster first, or in one task
+        leaves = leaves_of(spark, ring + inner + band, per_task)
+        assert sum(map(len, leaves.values())) == 1400
+        # the limit holds about the centre the points were assigned to, which may be a step away from their mean
+        assert all(len(x) < 4 or np.sqrt(((x - x.mean(0)) ** 2).sum(1).max()) <= 0.33 for x in leaves.values())
+        assert len(leaves) < 400
+
+
+def test_either_way_gives_the_same_groups(spark):
+    ring, inner, band = shapes()
+    a, b = (run(spark, ring + inner + band, per_task=n) for n in (150, 100_000))
+    assert a == b
+
+
+def test_the_largest_dispersion_is_split_first():
+    x = np.r_[np.zeros((50, 1)), np.full((50, 1), 10.0), np.full((5, 1), 11.0)]
+    leaf = clusters.bisect_local(x, 0.1, 4)
+    assert len(set(leaf)) == 3 and leaf[0] != leaf[60] and leaf[104] == 2  # 0 against the rest, then 10 against 11
+
+
+def test_leaf_report(spark):
+    ring, inner, band = shapes()
+    got = clusters.cluster(frame(spark, ring + inner + band), "id", [F.col("a"), F.col("b"), F.col("c")])
+    out = clusters.describe_leaves(got, typical=2).collect()
+    assert sum(r["size"] for r in out) == 1400 and all(len(r.members) == min(2, r["size"]) for r in out)
+    assert all(r.radius <= 0.25 for r in out if r["size"] >= 4)
 
 
 def test_describe(spark):
