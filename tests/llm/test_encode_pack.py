@@ -79,13 +79,13 @@ def test_pack(spark):
     df = spark.createDataFrame([*((i, s, "x") for i, s in items), (None, 5, "x"), (9999, None, "x"), (9998, -1, "x")], "doc_id long, tokens long, container string")
     budgets = spark.createDataFrame([("small", 256), ("big", 2048), ("none", 0), (None, 5)], "budget_name string, capacity_tokens int")
     one = packing.pack(df, budgets).collect()
-    tree = packing.pack(df.repartition(7), budgets, per_task=100, fan=3).collect()
+    tree = packing.pack(df.repartition(7), budgets, per_task=100).collect()
     for name, capacity in (("small", 256), ("big", 2048)):
         least = -(-sum(s for _, s in items) // capacity)
         for rows in (one, tree):
             n = check([r for r in rows if r.budget == name], items, capacity)
             assert n <= least * 1.02 + 2
-    again = packing.pack(df.repartition(3), budgets, per_task=100, fan=3).collect()
+    again = packing.pack(df.repartition(3), budgets, per_task=100).collect()
     assert sorted(map(tuple, tree)) == sorted(map(tuple, again))
 
 
@@ -93,10 +93,22 @@ def test_pack_items_that_do_not_combine(spark):
     items = [(i, 60) for i in range(300)]
     df = spark.createDataFrame(items, "doc_id long, tokens long")
     budgets = spark.createDataFrame([("b", 100)], "budget_name string, capacity_tokens int")
-    assert check(packing.pack(df, budgets, per_task=50, carry=5).collect(), items, 100) == 300
+    assert check(packing.pack(df, budgets, per_task=50).collect(), items, 100) == 300
     assert packing.pack(df.limit(0), budgets).count() == 0
 
 
+def test_every_underfull_container_goes_on(spark):
+    """Far more underfull containers than a task takes: each of them is packed again, none is left as it is for being too many."""
+    items = [(i, 60) for i in range(600)] + [(1000 + i, 41) for i in range(10)] + [(2000, 1)]
+    df = spark.createDataFrame(items, "doc_id long, tokens long")
+    budgets = spark.createDataFrame([("b", 100)], "budget_name string, capacity_tokens int")
+    assert check(packing.pack(df, budgets, per_task=40).collect(), items, 100) <= 610
+    halves = [(i, 30 if i % 3 else 65) for i in range(900)]
+    df = spark.createDataFrame(halves, "doc_id long, tokens long")
+    least = -(-sum(s for _, s in halves) // 100)
+    assert check(packing.pack(df, budgets, per_task=7).collect(), halves, 100) <= least * 1.1
+
+
 def test_best_fit():
     place, fill = packing.best_fit(np.array([5, 4, 3, 2, 6]), 10)
     assert fill.tolist() == [10, 10] and place[4] == place[1] and place[0] == place[2] == place[3]
