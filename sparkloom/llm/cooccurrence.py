@@ -9,7 +9,7 @@ Scale and skew:
 * Items below the support threshold cannot be in a pair that reaches it (n_ab <= min(n_a, n_b)); they are
   taken out first, which changes no result.
 * A frequent item costs nothing extra: it is a column of every block, never a group key of raw rows.
-* A record with very many items is split into item blocks: its entries go to the tasks of all block pairs
+* A record with very many items is split into item blocks of about ``wide`` items: its entries go to the tasks of all block pairs
   they belong to, and each task makes one block of the product.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkloom.session import materialise
 
 WIDE = 256  # items from which a record is split into item blocks
-ITEM_BLOCKS = 16
+ITEM_BLOCKS = 16  # parts in which the items of any record are first collected
 DENSE = 256  # columns of a dense item block
 FLUSH = 2_000_000  # distinct pairs that a task holds before it emits its partial sums
 
@@ -171,12 +171,15 @@ def pair_counts(entries: DataFrame, record: str = "record", item: str = "item",
     whole = lists.groupBy("record").agg(F.sum(F.size("items")).alias("size"), F.flatten(F.collect_list(F.when(F.size("items") <= wide, F.col("items")))).alias("items"))
     whole = materialise(whole.filter("size > 1"), "baskets")  # read by both branches
     narrow = whole.filter(F.col("size") <= wide).select("items").mapInArrow(_gram, PAIR_SCHEMA)
-    broad = whole.filter(F.col("size") > wide).select("record")
-    parts = materialise(lists.join(broad, "record", "left_semi"), "blocks")
+    # a wide record is dealt to as many blocks as it has items for, so a product of two blocks is small whatever the record's size
+    broad = whole.filter(F.col("size") > wide).select("record", F.ceil(F.col("size") / wide).alias("deal"))
+    single = lists.join(broad, "record").select("record", "deal", F.explode("items").alias("item"))
+    dealt = single.select("record", "item", F.pmod(F.xxhash64("item", F.lit(1)), F.col("deal")).cast("int").alias("block"))
+    parts = materialise(dealt.groupBy("record", "block").agg(F.collect_list("item").alias("items")), "blocks")
     same = parts.select("items").mapInArrow(_gram, PAIR_SCHEMA)
     left = parts.select("record", F.col("block").alias("a"), F.col("items").alias("left"))
     right = parts.select("record", F.col("block").alias("b"), F.col("items").alias("right"))
-    # block pairs of one record, at most blocks^2 rows of it, whatever its size
+    # block pairs of one record: with k items (k / wide)^2 / 2 rows of 2 * wide items
     crossed = left.join(right, "record").filter("a < b").select("left", "right").mapInArrow(_cross_blocks, PAIR_SCHEMA)
     return narrow.unionByName(same).unionByName(crossed).groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
 

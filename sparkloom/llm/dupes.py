@@ -6,7 +6,8 @@ a text form a multiset. A field contributes hash(class, text); fields of one cla
 contributions are combined by addition modulo 2^64 in two independent lanes, which needs no order.
 
 Rows are grouped by the 128-bit fingerprint; only rows of groups with two or more members are then read
-again and compared with the group's first row, field by field as multisets by counting, without sorting.
+again and compared with the group's first row, field by field as multisets by counting, without sorting. Those that differ from it
+are grouped again among themselves.
 """
 
 from __future__ import annotations
@@ -89,12 +90,15 @@ def same_fields(left: Sequence[str], right: Sequence[str], kinds: Sequence[str])
     return not free
 
 
-def _fingerprints(kinds: Sequence[str]):
+def _fingerprints(kinds: Sequence[str], texts: bool = False):
+    """(id, h1, h2) of rows (id, fields), and the fields beside them if asked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
             made = [fingerprint(values, kinds) for values in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], ["id", "h1", "h2"])
+            more = batch.columns[1:] if texts else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64()), *more], ["id", "h1", "h2", *batch.schema.names[1 : 1 + len(more)]])
 
     return run
 
@@ -111,38 +115,53 @@ def _verified(kinds: Sequence[str]):
     return run
 
 
+def _read(rows: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
+    """id and the compared fields f0, f1, ... of the rows that take part."""
+    return rows.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]).na.drop("any")
+
+
 def duplicate_groups(rows: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """id, rep, copies of every record whose fingerprint another one shares.
+    """id, h1, h2, rep, copies of every record whose fingerprint (h1, h2) another one shares.
 
     ``fields`` maps each compared column to its class; columns of one class are interchangeable. rep is the
     smallest id of the group, copies the number of distinct ids in it. Rows with a null id or a null field
-    take no part; rows of the same id are one record (its first text in byte order of the fields counts).
+    take no part; rows of the same id are one record: that of its texts counts whose fingerprint is smallest.
     Empty texts are texts. Ids are integers.
 
     A group that holds a third of all rows is one row of the grouped table, by partial aggregation.
     """
-    columns, kinds = list(fields), list(fields.values())
-    raw = rows.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)])
-    raw = raw.na.drop("any")
-    marks = raw.mapInArrow(_fingerprints(kinds), "id long, h1 long, h2 long")
-    # copies under one id: the smallest fingerprint stands for the record, which is the same one when they are exact
+    marks = _read(rows, id_col, list(fields)).mapInArrow(_fingerprints(list(fields.values())), "id long, h1 long, h2 long")
     marks = materialise(marks.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"), "fingerprints")
-    groups = marks.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return materialise(marks.join(groups, ["h1", "h2"]).select("id", "rep", "copies"), "members")
+    return materialise(_grouped(marks), "members")
 
 
-def verify_groups(rows: DataFrame, members: DataFrame, id_col: str, fields: dict[str, str], per_salt: int = 10_000) -> DataFrame:
-    """id, rep, same: every member but the first compared with its group's first row by field equality.
+def _grouped(marks: DataFrame) -> DataFrame:
+    groups = marks.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return marks.join(groups, ["h1", "h2"]).select("id", "h1", "h2", "rep", "copies")
 
-    Texts are read again for members only. Members join their own text on their id; the texts of the first
-    rows go to one salted copy per ``per_salt`` members, so no task takes a whole hot group.
-    """
+
+def member_texts(rows: DataFrame, members: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+    """id, f0, f1, ...: one text of every member, of those that have the fingerprint it was grouped by (the smallest in byte order)."""
     columns, kinds = list(fields), list(fields.values())
-    n = len(columns)
-    raw = rows.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]).na.drop("any")
-    raw = raw.join(members.select("id"), "id", "left_semi")
-    first = raw.groupBy("id").agg(F.min(F.struct(*[f"f{i}" for i in range(n)])).alias("t")).select("id", "t.*")
-    own = first.join(members, "id")
+    raw = _read(rows, id_col, columns).join(members.select("id"), "id", "left_semi")
+    texts = F.struct(*[f"f{i}" for i in range(len(columns))])
+    one = raw.groupBy("id").agg(F.min(texts).alias("t"), F.max(texts).alias("u"))
+    plain = one.filter("t = u").select("id", "t.*")  # most have one text
+    several = raw.join(one.filter("t <> u").select("id"), "id", "left_semi")
+    # of ids with several texts the fingerprints are made again, to find the one that counts
+    marked = several.distinct().mapInArrow(_fingerprints(kinds, True), "id long, h1 long, h2 long, " + ", ".join(f"f{i} string" for i in range(len(columns))))
+    chosen = marked.join(members.select("id", "h1", "h2"), ["id", "h1", "h2"]).groupBy("id").agg(F.min(texts).alias("t")).select("id", "t.*")
+    return plain.unionAll(chosen)
+
+
+def verify_groups(texts: DataFrame, members: DataFrame, kinds: Sequence[str], per_salt: int = 10_000) -> DataFrame:
+    """id, rep, same: every member but the first compared with its group's first record by field equality.
+
+    Members join their own text on their id; the texts of the first
+    records go to one salted copy per ``per_salt`` members, so no task takes a whole hot group.
+    """
+    n = len(kinds)
+    own = texts.join(members, "id")
     spread = F.floor(F.col("copies") / per_salt) + 1
     salted = own.withColumn("salt", F.pmod(F.col("id"), spread.cast("long")))
     reps = own.filter("id = rep").select("rep", F.explode(F.sequence(F.lit(0).cast("long"), (spread - 1).cast("long"))).alias("salt"), *[F.col(f"f{i}").alias(f"r{i}") for i in range(n)])
@@ -153,10 +172,20 @@ def verify_groups(rows: DataFrame, members: DataFrame, id_col: str, fields: dict
 def hidden_duplicates(rows: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """id, rep of every record that equals one with a smaller id; rep is the smallest id of its group.
 
-    A record whose fingerprint is shared but whose fields differ (a hash collision) is no duplicate.
+    Records whose fingerprint is shared but whose fields differ from the first of their group (a hash collision) are grouped among
+    themselves again, until every record equals its first or is alone: a collision neither makes nor loses a link.
     """
     members = duplicate_groups(rows, id_col, fields)
-    return verify_groups(rows, members, id_col, fields).filter("same").select("id", "rep")
+    out = None
+    while True:
+        texts = member_texts(rows, members, id_col, fields)
+        checked = materialise(verify_groups(texts, members, list(fields.values())), "checked")
+        found = checked.filter("same").select("id", "rep")
+        out = found if out is None else out.unionAll(found)
+        odd = checked.filter("not same").select("id")
+        if odd.isEmpty():
+            return out
+        members = materialise(_grouped(members.join(odd, "id", "left_semi").select("id", "h1", "h2")), "members")
 
 
 def collapse_duplicates(rows: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:

@@ -58,7 +58,7 @@ def test_hot_group(spark):
     assert got == {(i, 1) for i in range(2, 400)}
     df = make(spark, rows)
     members = dupes.duplicate_groups(df, "Id", FIELDS)
-    salted = dupes.verify_groups(df, members, "Id", FIELDS, per_salt=7)
+    salted = dupes.verify_groups(dupes.member_texts(df, members, "Id", FIELDS), members, ["text", "text"], per_salt=7)
     assert {(r.id, r.rep) for r in salted.filter("same").collect()} == got
 
 
@@ -72,6 +72,23 @@ def test_equals_brute_force(spark):
     assert {tuple(r) for r in dupes.hidden_duplicates(df, "Id", FIELDS).collect()} == want
 
 
+def test_an_id_with_two_texts_keeps_its_link(spark):
+    """The text an id is grouped by is the one it is compared by, whichever of its two texts that is."""
+    texts = [("aa", "b"), ("zz", "y")]
+    for other in texts:
+        rows = [(1, *texts[0]), (1, *texts[1]), (2, *other)]
+        got = {tuple(r) for r in dupes.hidden_duplicates(make(spark, rows), "Id", FIELDS).collect()}
+        kept = min(texts, key=lambda t: dupes.fingerprint(t, ["text", "text"]))
+        assert got == ({(2, 1)} if other == kept else set())
+
+
+def test_collisions_neither_make_nor_lose_links(spark, monkeypatch):
+    monkeypatch.setattr(dupes, "fingerprint", lambda values, kinds: (1, 2))
+    rows = [(i, "abc"[i % 3] + "!" * (i % 2), "x") for i in range(1, 13)] + [(20, "alone", "x")]
+    got = {tuple(r) for r in dupes.hidden_duplicates(make(spark, rows), "Id", FIELDS).collect()}
+    assert got == {(i, (i - 1) % 3 + 1) for i in range(4, 13)}
+
+
 def test_empty(spark):
     df = make(spark, [])
     assert dupes.hidden_duplicates(df, "Id", FIELDS).count() == 0

@@ -29,6 +29,11 @@ def test_last_seen_counters(spark):
     assert got == brute(rows)
     few = {tuple(r) for r in frequency.term_frequencies(df, salts=1).collect()}
     assert few == got
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert {tuple(r) for r in frequency.term_frequencies(df, salts=1, flush=3).collect()} == got  # counters go between records
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_small_batches_keep_the_last_record(spark):
