@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def decompose_datetime(df: DataFrame, columns: Mapping[str, str], only_epoch: tuple[str, ...] = (), drop: bool = False) -> DataFrame:
@@ -148,7 +149,7 @@ def from_lambert93(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(lat), lon0 + F.degrees(F.atan((x - xs) / (ys - y))) / n
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _vincenty(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     a, f, rounds = 6378137.0, 1 / 298.257223563, 12  # Fixed values: the WGS 84 ellipsoid
     b = a * (1 - f)

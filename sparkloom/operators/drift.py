@@ -2,14 +2,15 @@
 
 1. Every line becomes a variant; its top-level keys are exploded on the JVM and each (file, field) gets its
    counts and JSON types over all lines.
-2. Value sketches: of each field of a file the values of the ``sketch`` keys with the smallest hashes among the records
-   where it is not null, a coordinated sample. The same keys fall into the samples of neighbouring years, so values can be
+2. Each file is joined with the one before it in its series. Fields of both are compared by type; a file that only gained or only lost
+   fields is done with that.
+3. Value sketches, for the fields that only one of two files has: the values of the ``sketch`` keys with the smallest hashes among the
+   records where the field is not null, a coordinated sample. The same keys fall into the samples of neighbouring years, so values can be
    compared record by record; a field filled in few lines has as many values as any other, up to all it has.
-3. Per series, each file is compared with the one before. Fields that only one side has are nodes of a
-   bipartite graph, weighted by value, type and name similarity; a maximum-weight matching gives the renames.
-4. Matched names are united into canonical columns.
+4. Those fields are nodes of a bipartite graph, weighted by value, type and name similarity; a maximum-weight matching gives the renames.
+5. Matched names are united into canonical columns, each of one type.
 
-Only per-field profiles and sketches of one series meet in one task, bounded by files x fields x sketch.
+What meets in one Python task is the sketches of one file and the one before, of the fields that differ.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import materialise
+
 SKETCH = 256
 CHANGES = "file_id long, series_id long, change string, old_field string, new_field string"
 _NUMBER = re.compile(r"\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*(?=.{1,7}\s*\Z)[A-Za-z][\w/]*(?: [A-Za-z][\w/]*)?\s*\Z|\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*\Z")
@@ -178,97 +181,143 @@ def best_matching(weights: list[list[float]]) -> list[int]:
     return out
 
 
-def _series_changes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Changes of one series from its rows (file_id, data_year, field, kind, sketch of the values)."""
-    out = []
-    files = sorted({(int(y), int(f)) for y, f in zip(pdf.data_year, pdf.file_id)})
-    by = {f: {} for _, f in files}
-    for f, field, kind, sketch in zip(pdf.file_id, pdf.field, pdf.kind, pdf.sketch):
-        by[int(f)][field] = (kind, {e["k"]: e["t"] for e in sketch} if sketch is not None else {})
-    series = int(pdf.series_id.iloc[0])
-    for (_, before), (_, after) in zip(files, files[1:]):
-        old, new = by[before], by[after]
-        gone, come = sorted(set(old) - set(new)), sorted(set(new) - set(old))
-        weights = [[rename_weight(a, b, old[a][1], new[b][1]) for b in come] for a in gone]
-        match = {gone[i]: come[j] for i, j in enumerate(best_matching(weights)) if j >= 0}
-        pairs = [(a, a) for a in set(old) & set(new)] + list(match.items())
-        out += [(after, series, "renamed", a, b) for a, b in match.items()]
-        out += [(after, series, "removed", a, "") for a in gone if a not in match]
-        out += [(after, series, "added", "", b) for b in come if b not in match.values()]
-        out += [(after, series, "retyped", a, b) for a, b in pairs if old[a][0] and new[b][0] and old[a][0] != new[b][0]]
-    return pd.DataFrame(out, columns=["file_id", "series_id", "change", "old_field", "new_field"])
-
-
-def profile_fields(files: DataFrame, key: str, sketch: int = SKETCH) -> DataFrame:
-    """file_id, series_id, data_year, field, present, filled, kind, sketch of every field of every file.
-
-    kind is the JSON type of most values that are not null (ties: the name that comes first), null where all are. The sketch holds
-    key and text of the sampled records. ``key`` names the field that identifies a record in all files of a series.
+def _matched(table: pa.Table) -> pa.Table:
+    """Renames, and what is left removed or added, of one file from its rows (file_id, series_id, come, field, kind, sketch)."""
+    rows = table.to_pylist()
+    sides: tuple[dict, dict] = ({}, {})
+    for r in rows:
+        sides[r["come"]][r["field"]] = (r["kind"], {e["k"]: e["t"] for e in r["sketch"] or ()})
+    old, new = sides
+    gone, come = sorted(old), sorted(new)
+    weights = [[rename_weight(a, b, old[a][1], new[b][1]) for b in come] for a in gone]
+    match = {gone[i]: come[j] for i, j in enumerate(best_matching(weights)) if j >= 0}
+    out = [("renamed", a, b) for a, b in match.items()]
+    out += [("removed", a, "") for a in gone if a not in match]
+    out += [("added", "", b) for b in come if b not in match.values()]
+    out += [("retyped", a, b) for a, b in match.items() if old[a][0] and new[b][0] and old[a][0] != new[b][0]]
+    change, before, after = zip(*out)
+    ids = {n: pa.array([rows[0][n]] * len(out), pa.int64()) for n in ("file_id", "series_id")}
+    return pa.table(ids | {"change": pa.array(change), "old_field": pa.array(before), "new_field": pa.array(after)})
+
+
+def field_kinds(files: DataFrame) -> DataFrame:
+    """file_id, series_id, data_year, field, present, filled, kind of every field of every file.
+
+    kind is the JSON type of most values that are not null (ties: the name that comes first), null where all are.
     """
     cells = fields_of(files.select("file_id", "series_id", "data_year", "record"))
     group = ["file_id", "series_id", "data_year", "field"]
     kinds = cells.groupBy(*group, "kind").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.when(F.col("kind") != "null", F.struct("n", (-F.ascii("kind")).alias("order"), "kind")))
-    profile = kinds.groupBy(*group).agg(F.sum("n").alias("present"), F.sum(F.when(F.col("kind") != "null", F.col("n")).otherwise(0)).alias("filled"), best["kind"].alias("kind"))
+    return kinds.groupBy(*group).agg(F.sum("n").alias("present"), F.sum(F.when(F.col("kind") != "null", F.col("n")).otherwise(0)).alias("filled"), best["kind"].alias("kind"))
+
+
+def field_sketches(files: DataFrame, key: str, sketch: int = SKETCH, only: DataFrame | None = None) -> DataFrame:
+    """file_id, field, sketch (key and text of the sampled records) of every field, or of the (file_id, field) rows of ``only``.
+
+    ``key`` names the field that identifies a record in all files of a series.
+    """
+    if only is not None:
+        files = files.join(only.select("file_id").distinct(), "file_id", "left_semi")
     keyed = files.select("file_id", "record").withColumn("k", F.try_variant_get(F.try_parse_json("record"), F.lit(f"$['{key}']"), "string")).filter("k is not null")
-    values = fields_of(keyed).filter("kind <> 'null'")
+    values = fields_of(keyed).filter("kind <> 'null'").select("file_id", "field", "k", "text")
+    if only is not None:
+        values = values.join(only, ["file_id", "field"], "left_semi")
     # the rank filter is pushed below the shuffle as a limit per field and task (WindowGroupLimit); lines of one key rank alike
     least = F.dense_rank().over(Window.partitionBy("file_id", "field").orderBy(F.xxhash64("k"), "k"))
-    sampled = values.select("file_id", "field", "k", "text").withColumn("_r", least).filter(F.col("_r") <= sketch)
+    sampled = values.withColumn("_r", least).filter(F.col("_r") <= sketch)
     # one value per key: the first of repeated lines in text order
     one = sampled.groupBy("file_id", "field", "k").agg(F.min("text").alias("t"))
-    sketches = one.groupBy("file_id", "field").agg(F.collect_list(F.struct("k", "t")).alias("sketch"))
-    return profile.join(sketches, ["file_id", "field"], "left")
+    return one.groupBy("file_id", "field").agg(F.collect_list(F.struct("k", "t")).alias("sketch"))
 
 
-def schema_changes(files: DataFrame, key: str = "OSEBuildingID", sketch: int = SKETCH) -> DataFrame:
+def profile_fields(files: DataFrame, key: str, sketch: int = SKETCH) -> DataFrame:
+    """``field_kinds`` with the sketch of every field."""
+    return field_kinds(files).join(field_sketches(files, key, sketch), ["file_id", "field"], "left")
+
+
+def schema_changes(files: DataFrame, key: str = "OSEBuildingID", sketch: int = SKETCH, kinds: DataFrame | None = None) -> DataFrame:
     """file_id, series_id, change, old_field, new_field: every change of a file against the one before it in its series.
 
     ``files`` has file_id, series_id, data_year and record (a JSON line). The file before is the nearest earlier
     data_year that the series has, file_id deciding within a year. A field is in a file if a readable record has its
     key, even with null. change is added (old_field ''), removed (new_field ''), renamed, or retyped. Rows with a null in one of the three
     identifying columns take no part; a file without a readable line is a file without fields only if it has none at all and is left out.
+    ``kinds`` may give ``field_kinds`` of the files where it is at hand.
     """
     known = files.na.drop("any", subset=["file_id", "series_id", "data_year"])
-    return profile_fields(known, key, sketch).groupBy("series_id").applyInPandas(_series_changes, CHANGES)
+    kinds = materialise(field_kinds(known), "kinds") if kinds is None else kinds
+    order = Window.partitionBy("series_id").orderBy("data_year", "file_id")  # one row per file
+    before = kinds.select("series_id", "data_year", "file_id").distinct().withColumn("before", F.lag("file_id").over(order)).filter("before is not null").select("file_id", "series_id", "before")
+    new = kinds.join(before, ["file_id", "series_id"]).select("file_id", "series_id", "before", "field", F.col("kind").alias("new_kind"), F.lit(True).alias("new"))
+    old = kinds.select(F.col("file_id").alias("before"), "series_id", "field", F.col("kind").alias("old_kind"), F.lit(True).alias("old")).join(before, ["before", "series_id"])
+    compared = materialise(new.join(old, ["file_id", "series_id", "before", "field"], "full"), "compared")
+    retyped = compared.filter("new and old and new_kind <> old_kind").select("file_id", "series_id", F.lit("retyped").alias("change"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
+    single = compared.filter("new is null or old is null").select("file_id", "series_id", "before", "field", F.col("new").isNotNull().alias("come"), F.coalesce("new_kind", "old_kind").alias("kind"))
+    sides = single.groupBy("file_id").agg(F.countDistinct("come").alias("sides"))
+    single = single.join(sides, "file_id")
+    lone = single.filter("sides = 1").select(
+        "file_id", "series_id", F.when(F.col("come"), "added").otherwise("removed").alias("change"), F.when(F.col("come"), "").otherwise(F.col("field")).alias("old_field"), F.when(F.col("come"), F.col("field")).otherwise("").alias("new_field")
+    )
+    open_ones = single.filter("sides = 2").withColumn("holder", F.when(F.col("come"), F.col("file_id")).otherwise(F.col("before")))
+    sketches = field_sketches(known, key, sketch, open_ones.select(F.col("holder").alias("file_id"), "field").distinct())
+    rows = open_ones.join(sketches.withColumnRenamed("file_id", "holder"), ["holder", "field"], "left").select("file_id", "series_id", "come", "field", "kind", "sketch")
+    return retyped.unionAll(lone).unionAll(rows.groupBy("file_id").applyInArrow(_matched, CHANGES))
 
 
 def canonical_names(changes: DataFrame, profile: DataFrame) -> dict[str, str]:
     """Canonical name of every field name: names linked by renames, the one in most files stands for all.
 
-    Collects one row per distinct name and rename, the vocabulary of the schemas, not of the data. A rename that contradicts more
+    Collects one row per distinct name and rename, and of names that renames link the pairs found beside each other: the vocabulary of
+    the schemas, not the data. A rename that contradicts more
     files than it has (both names beside each other in one file) links nothing.
     """
+    spark = profile.sparkSession
     names = {r.field: r.n for r in profile.groupBy("field").agg(F.countDistinct("file_id").alias("n")).collect()}
     renames = changes.filter("change = 'renamed'").groupBy("old_field", "new_field").agg(F.count(F.lit(1)).alias("n")).collect()
-    together = profile.select("file_id", F.col("field").alias("a")).join(profile.select("file_id", F.col("field").alias("b")), "file_id").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    beside = {(r.a, r.b): r.n for r in together.collect()}
     root = {name: name for name in names}
 
     def find(x: str) -> str:
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
+    for r in renames:
+        root[find(r.new_field)] = find(r.old_field)
+    linked = [(n, find(n)) for n in {x for r in renames for x in (r.old_field, r.new_field)}]
+    groups_of = spark.createDataFrame(linked, "field string, g string")
+    held = profile.select("file_id", "field").distinct().join(groups_of, "field")  # pairs within a group of linked names only
+    pairs = held.select("file_id", "g", F.col("field").alias("a")).join(held.select("file_id", "g", F.col("field").alias("b")), ["file_id", "g"])
+    beside = {(r.a, r.b): r.n for r in pairs.filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    root = {name: name for name in names}
+    members = {name: [name] for name in names}
     for r in sorted(renames, key=lambda r: (-r.n, r.old_field, r.new_field)):
         a, b = find(r.old_field), find(r.new_field)
-        members = ([x for x in names if find(x) == a], [x for x in names if find(x) == b])
-        if a != b and all(beside.get((min(x, y), max(x, y)), 0) <= r.n for x in members[0] for y in members[1]):
+        if a != b and all(beside.get((min(x, y), max(x, y)), 0) <= r.n for x in members[a] for y in members[b]):
             root[b] = a
-    groups: dict[str, list[str]] = {}
-    for name in names:
-        groups.setdefault(find(name), []).append(name)
-    best = {g: max(members, key=lambda m: (names[m], m)) for g, members in groups.items()}
+            members[a] += members.pop(b)
+    best = {g: max(ms, key=lambda m: (names[m], m)) for g, ms in members.items()}
     return {name: best[find(name)] for name in names}
 
 
-def unify(files: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One consistent table: file_id, line_no, series_id, data_year and one text column per canonical field.
+def column_types(kinds: DataFrame, names: dict[str, str]) -> dict[str, str]:
+    """The one type of each canonical column: double or boolean where every field united in it holds nothing else, else string."""
+    found: dict[str, set] = {}
+    for r in kinds.filter("kind is not null").select("field", "kind").distinct().collect():  # the vocabulary of the schemas
+        found.setdefault(names[r.field], set()).add(r.kind)
+    return {c: {"number": "double", "boolean": "boolean"}.get(next(iter(ks)), "string") if len(ks) == 1 else "string" for c, ks in found.items()}
 
-    Each column takes the first of its names that the record has. Lines that are not valid JSON are left out;
-    exact copies of a line are kept (dedupe on the key if they are not wanted). Columns differ in more than case.
+
+def unify(files: DataFrame, names: dict[str, str], types: dict[str, str] | None = None) -> DataFrame:
+    """One consistent table: file_id, line_no, series_id, data_year and one column per canonical field.
+
+    Each column takes the first of its names that the record has. ``types`` gives a column's type (``column_types``), string where it
+    does not; a single value that does not fit a double or boolean column is null there. Lines that are no JSON object are
+    in ``rejects`` instead. Exact copies of a line are kept (dedupe on the key if they are not wanted). Columns differ in more than case.
     """
-    parsed = files.withColumn("_v", F.try_parse_json("record")).filter(F.col("_v").isNotNull())
+    types = types or {}
+    parsed = files.withColumn("_v", F.try_parse_json("record")).filter(F.schema_of_variant("_v").startswith("OBJECT"))
     groups: dict[str, list[str]] = {}
     for name, best in sorted(names.items()):
         groups.setdefault(best, []).append(name)
@@ -280,5 +329,11 @@ def unify(files: DataFrame, names: dict[str, str]) -> DataFrame:
             label += "_"
         taken.add(label.lower())
         paths = [f'$["{m}"]' if "'" in m else f"$['{m}']" for m in [best, *[m for m in members if m != best]]]
-        columns.append(F.coalesce(*[F.try_variant_get("_v", F.lit(p), "string") for p in paths]).alias(label))
+        columns.append(F.coalesce(*[F.try_variant_get("_v", F.lit(p), types.get(best, "string")) for p in paths]).alias(label))
     return parsed.select("file_id", "line_no", "series_id", "data_year", *columns)
+
+
+def rejects(files: DataFrame) -> DataFrame:
+    """The lines that ``unify`` leaves out: null, not valid JSON (repeated keys too), or not an object."""
+    shape = F.schema_of_variant(F.try_parse_json("record"))
+    return files.filter(F.coalesce(~shape.startswith("OBJECT"), F.lit(True)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import drift
+from sparkloom.session import materialise
 from sparkloom.sources import load
 from sparkloom.streaming import entity_features as ef
 
@@ -16,14 +17,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.schema_changes(load(spark, folder, "benchmarking_files")).drop("series_id")
 
 
-def _unified(spark: SparkSession, folder: str) -> DataFrame:
-    files = load(spark, folder, "benchmarking_files")
-    names = drift.canonical_names(drift.schema_changes(files), drift.profile_fields(files, "OSEBuildingID").select("file_id", "field"))
-    return drift.unify(files, names)
+def _unified(files: DataFrame) -> DataFrame:
+    kinds = materialise(drift.field_kinds(files.na.drop("any", subset=["file_id", "series_id", "data_year"])), "kinds")
+    names = drift.canonical_names(materialise(drift.schema_changes(files, kinds=kinds), "changes"), kinds)
+    return drift.unify(files, names, drift.column_types(kinds, names))
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return _unified(spark, folder)
+    return _unified(load(spark, folder, "benchmarking_files"))
+
+
+def p1_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.rejects(load(spark, folder, "benchmarking_files")).select("file_id", "line_no")
 
 
 def _typed_years(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,9 +47,7 @@ def p1_typed_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_typed_unified(spark: SparkSession, folder: str) -> DataFrame:
-    files = _typed_years(spark, folder)
-    names = drift.canonical_names(drift.schema_changes(files), drift.profile_fields(files, "OSEBuildingID").select("file_id", "field"))
-    return drift.unify(files, names)
+    return _unified(_typed_years(spark, folder))
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,11 +87,12 @@ features AS (
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p1_typed_changes": p1_typed_changes, "p1_typed_unified": p1_typed_unified, "p3_found": p3_found, "p3_features": p3_features, "p3_by_type": p3_by_type}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p1_rejects": p1_rejects, "p1_typed_changes": p1_typed_changes, "p1_typed_unified": p1_typed_unified, "p3_found": p3_found, "p3_features": p3_features, "p3_by_type": p3_by_type}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_rejects": "SELECT file_id, line_no FROM benchmarking_files WHERE record IS NULL OR NOT json_valid(record) OR json_type(CASE WHEN json_valid(record) THEN record END) <> 'OBJECT'",
         "p3_found": _EVENTS_SQL + "SELECT customer_id, event_type FROM features WHERE n >= 2 AND last >= TIMESTAMP '2018-06-03' AND cents > 0",
         "p3_features": _EVENTS_SQL
         + """SELECT customer_id, sum(n)::BIGINT AS events, max(last) AS last, sum(cents)::BIGINT AS cents,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,23 +30,37 @@ def get_session(app: str = "sparkloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset.
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset and all is one machine.
 
-    A folder of our own is only ever made when the cluster names none (local tests).
+    RuntimeError where it is unset on a cluster: a machine-local folder there would give each executor another one.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-shared")
         spark.conf.set(CHECKPOINT_KEY, named)
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_runs: dict[str, str] = {}  # application id and shared folder -> folder of this application in it
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application that is deleted when its JVM ends."""
+    shared = shared_dir(spark)
+    key = f"{spark.sparkContext.applicationId} {shared}"
+    if key not in _runs:
+        folder = f"{shared}/sparkloom-{uuid.uuid4().hex}"
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+        _runs[key] = folder
+    return f"{_runs[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

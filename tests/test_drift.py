@@ -63,6 +63,12 @@ def test_unify(spark):
     table = drift.unify(files, names)
     assert table.count() == 40
     assert table.filter(f"`{names['Gas']}` is null").count() == 0
+    assert [r.record for r in drift.rejects(files).collect()] == ["{bad"]
+    kinds = drift.field_kinds(files)
+    types = drift.column_types(kinds, names)
+    assert types[names["Gas"]] == "double" and types["Name"] == "string"
+    typed = drift.unify(files, names, types)
+    assert dict(typed.dtypes)[names["Gas"]] == "double" and typed.filter(f"`{names['Gas']}` > 0").count() == 40
 
 
 def test_matching_is_maximal():

@@ -301,4 +301,31 @@ def test_whole_titles_become_sequences(spark, tmp_path):
     title = " ".join(f"t{i}" for i in range(30))
     spark.createDataFrame([(1, title), (2, "t0")], "Id long, Title string").write.parquet(f"{tmp_path}/questions.parquet")
     got = {r.Id: r.sequence for r in statistics.text_to_sequences(spark, str(tmp_path)).collect()}
-    assert sorted(got[1]) == list(range(1, 31)) and got[2] == [0] * 29 + [1]
+    assert sorted(map(int, got[1].split())) == list(range(1, 31)) and got[2] == "0 " * 29 + "1"
+
+
+def test_clip_and_chain():
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    moved = [(x + 1, y + 1) for x, y in square]
+    assert geometry.clip(square, moved) == [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
+    assert geometry.clip(square, [(x + 2, y) for x, y in square]) == [(2.0, 0.0), (2.0, 2.0)]  # a shared side
+    assert geometry.clip(square, [(x + 9, y) for x, y in square]) == []
+    edges = [(a, b) for a, b in zip(square, square[1:])]
+    assert geometry.rings_of(edges + [((5.0, 5.0), (6.0, 6.0))]) == [[(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)]]
+
+
+def test_intersections_are_exact(spark, rows):
+    tri = [("a", 0.0, 0.0), ("a", 4.0, 0.0), ("a", 0.0, 4.0), ("b", 4.0, 4.0), ("b", 4.0, 3.0), ("b", 3.0, 4.0), ("c", 1.0, 1.0), ("c", 3.0, 1.0), ("c", 1.0, 3.0), ("c", 3.0, 3.0), ("d", 0.1, 0.1)]
+    hulls = geo.outlines(spark.createDataFrame(tri, "k string, x double, y double"), "k")
+    assert ("a", "b") in rows(geo.overlapping_boxes(hulls, "k", "outline", 1.0))  # boxes overlap, the triangles do not
+    got = geo.intersections(hulls, "k", "outline", 1.0).select("a", "b", "owner", "kind", F.round(geometry.area(F.col("part")), 6).alias("s"))
+    assert rows(got) == [("a", "c", "c", "POLYGON", 2.0)]
+
+
+def test_scalars_of_the_ellipsoid(spark):
+    r = spark.createDataFrame([(50.06632, -5.71475, 58.64402, -3.07009)], "a double, b double, c double, d double").select(scalars.vincenty(*map(F.col, "abcd")).alias("m"), scalars.vincenty(F.col("a"), F.col("b"), F.col("a"), F.col("b")).alias("z")).head()
+    assert r.m == pytest.approx(969954.166, abs=0.01) and r.z == 0
+    x, y = scalars.lambert93(F.lit(48.85), F.lit(2.35))
+    lat, lon = scalars.from_lambert93(x, y)
+    back = spark.range(1).select(lat.alias("lat"), lon.alias("lon")).head()
+    assert (back.lat, back.lon) == (pytest.approx(48.85, abs=1e-9), pytest.approx(2.35, abs=1e-9))

@@ -61,3 +61,14 @@ def test_supervised(spark, rows):
     normal = spark.createDataFrame([(float(x),) for x in rng.normal(size=300)], "x double")
     assert supervised.normality(normal, "x")["p"] > 0.01
     assert geometry.hull([(1.0, 1.0)]) == [(1.0, 1.0)]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sparkloom.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda key, value: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
