@@ -6,14 +6,16 @@ in every word at once, the pair of least rank, from the left, until no pair of a
 aggregation then gives the ids of each word. All occurrences of the least pair are contracted in one step, which is what
 contracting the leftmost one again and again comes to, since a merge only makes pairs of higher rank.
 
-The query stops after STEPS steps and goes on with the words that are not finished, so a word of any length needs
-memory for STEPS times its bytes only. The word cache of a task is emptied when it holds CACHE words. The merge table is
+The query stops after STEPS steps, after fewer where a word is longer than a group of words (LONG bytes), and goes on with the words that
+are not finished, so it holds STEPS times LONG rows, or two generations of a very long word. The word cache of a task is emptied when it holds CACHE words. The merge table is
 of fixed size (50,000 rows) and is the only thing broadcast.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -80,7 +82,9 @@ class Encoder:
 
     def __init__(self, base: np.ndarray, merges: np.ndarray) -> None:
         self.base = base
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        # what does not fit goes where the executor's own spills go
+        spill = os.path.join(os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0], f"duckdb-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": spill})
         table = pa.table({n: merges[:, i] for i, n in enumerate(("a", "b", "rank", "made"))})
         self.db.register("merge_rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -115,14 +119,15 @@ class Encoder:
             pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
             start = pa.table({"w": np.repeat(np.array(names, np.int32), lengths), "pos": pos, "tok": np.concatenate(tokens)})
             self.db.register("start", start)
-            found = self.db.sql(_STEP.format(steps=STEPS)).to_arrow_table()
+            steps = max(1, min(STEPS, STEPS * LONG // max(1, int(lengths.sum()))))
+            found = self.db.sql(_STEP.format(steps=steps)).to_arrow_table()
             self.db.unregister("start")
             ids = found["ids"].combine_chunks()
             values, offsets = ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().to_numpy())]
             again, rest = [], []
             for i, (w, step) in enumerate(zip(found["w"].to_pylist(), found["step"].to_pylist())):
                 part = values[offsets[i] : offsets[i + 1]].astype(np.int32)
-                if step < STEPS:
+                if step < steps:
                     done[w] = part
                 else:
                     again.append(w)

@@ -51,6 +51,14 @@ def test_more_steps_than_one_query_takes(encoder, public, monkeypatch):
     assert ids(encoder, TEXTS) == [public(t) for t in TEXTS]
 
 
+@needs_tokenizer
+def test_one_word_of_megabytes(encoder, public):
+    """A word without a break is encoded whole, in fewer steps a query, within the memory limit."""
+    text = "ab" * 1_000_000 + "xyz"
+    assert ids(encoder, [text]) == [public(text)]
+    encoder.clear()
+
+
 @needs_tokenizer
 def test_table(spark, public):
     df = spark.createDataFrame([(i, t, [1], 7) for i, t in enumerate(TEXTS)] + [(None, "a", [2], 7)], "doc_id long, text string, ids array<int>, tokens int")
