@@ -128,14 +128,18 @@ def period_features(orders: DataFrame, customer: str, at: str, amount: str, scal
     return joined.select(customer, at, *[F.when(F.col("_p") == p, F.col(f"_{p}")).otherwise(F.col("_n") - F.col(f"_{p}")).alias(f"{p}_count") for p in periods])
 
 
+def drawn_share(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 drawn by the MD5 of a key and a seed: the same in every run and engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
 def stratified_by_frequency(df: DataFrame, frequency: str, key: str, fractions: tuple[float, float, float], seed: int = 42) -> DataFrame:
     """A sample with one fraction for frequency 1, one for 2 and one above, the same rows in every run.
 
     Rows are ordered by a hash of the key, not drawn, so the sample does not depend on partitions.
     """
     stratum = F.when(F.col(frequency) == 1, fractions[0]).when(F.col(frequency) == 2, fractions[1]).when(F.col(frequency) > 2, fractions[2]).otherwise(0.0)
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(drawn < stratum)
+    return df.filter(drawn_share(F.col(key), seed) < stratum)
 
 
 def list_lengths(df: DataFrame, customer: str, order: str, value: str, name: str) -> DataFrame:

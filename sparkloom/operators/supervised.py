@@ -49,7 +49,7 @@ def compare_results(a: DataFrame, b: DataFrame, key: str, scores: list[str], nam
 
 def show_predictions(df: DataFrame, label: str, prediction: str, text: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:
     """n rows drawn by a seeded hash of the key, with text, truth and prediction."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).select(key, text, label, prediction).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key).select(key, text, label, prediction).limit(n)
 
 
 def lifetime_bucket(months: Column, low: float = 10, high: float = 16) -> Column:

@@ -376,7 +376,7 @@ def model_name(spark, d):
     return spark.createDataFrame([(evaluate.model_name(KMeans()),)], "name string")
 
 
-@query("compare_n_predicted_results")
+@query("compare_n_predicted_results", "SELECT o_orderkey, o_orderpriority AS text, o_orderstatus AS y, CASE WHEN o_totalprice > 100000 THEN 'O' ELSE 'F' END AS p FROM orders ORDER BY md5(o_orderkey || '|42'), o_orderkey LIMIT 10")
 def compare_n_predicted_results(spark, d):
     df = load(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("y"), F.when(F.col("o_totalprice") > 100000, "O").otherwise("F").alias("p"))
     return supervised.show_predictions(df, "y", "p", "text", "o_orderkey")

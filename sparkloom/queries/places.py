@@ -38,21 +38,37 @@ def convert_geodetic_system(spark, d):
     return _points(spark, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("transform_coordinates_to_geometry_for_each_place_uid")
+#: Hull edges of each area: ordered pairs of its points with none to the right and all collinear ones between them.
+_HULL = """WITH p AS (SELECT DISTINCT OSEBuildingID AS id, upper(trim(replace(Neighborhood, chr(10), ''))) AS area, Longitude AS x, Latitude AS y FROM benchmarking_2016 WHERE Latitude IS NOT NULL AND Longitude IS NOT NULL),
+q AS (SELECT DISTINCT area, x, y FROM p WHERE area IS NOT NULL),
+e AS (SELECT a.area, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb FROM q a JOIN q b ON a.area = b.area AND (a.x <> b.x OR a.y <> b.y) WHERE NOT EXISTS (SELECT 1 FROM q c WHERE c.area = a.area
+  AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x < least(a.x, b.x) OR c.x > greatest(a.x, b.x) OR c.y < least(a.y, b.y) OR c.y > greatest(a.y, b.y))))),
+h AS (SELECT area, count(*) AS corners, abs(sum(ax * bb - bx * ay)) / 2 AS size FROM e GROUP BY 1),
+i AS (SELECT p.id, p.area AS own, h.area FROM p CROSS JOIN h WHERE h.corners > 2 AND NOT EXISTS (SELECT 1 FROM e WHERE e.area = h.area AND (bx - ax) * (p.y - ay) - (bb - ay) * (p.x - ax) < -1e-12))
+"""
+
+
+@query("transform_coordinates_to_geometry_for_each_place_uid", _HULL + "SELECT area, n AS points, CASE WHEN corners > 2 THEN corners ELSE 0 END::INT AS corners, CASE WHEN corners > 2 THEN round(size, 9) ELSE 0 END AS size FROM h JOIN (SELECT area, count(*) AS n FROM p GROUP BY 1) USING (area)")
 def transform_coordinates_to_geometry(spark, d):
     out = geo.outlines(_points(spark, d), "area")
-    return out.select("area", "points", geometry.wkt(F.col("outline")).alias("wkt"), F.round(geometry.area(F.col("outline")), 9).alias("size"))
+    solid = geometry.kind(F.col("outline")) == "POLYGON"
+    return out.select(F.upper("area").alias("area"), "points", F.when(solid, F.size("outline") - 1).otherwise(0).alias("corners"), F.when(solid, F.round(geometry.area(F.col("outline")), 9)).otherwise(0.0).alias("size"))
+
 
+@query("outlines_as_text")
+def outlines_as_text(spark, d):
+    return geo.outlines(_points(spark, d), "area").select("area", geometry.wkt(F.col("outline")).alias("wkt"))
 
-@query("spatial_filter")
+
+@query("spatial_filter", _HULL + "SELECT containers, count(*) AS n FROM (SELECT p.id, CASE WHEN count(i.area) = 1 THEN 'one' WHEN count(i.area) > 1 THEN 'many' ELSE 'none' END AS containers FROM p LEFT JOIN i USING (id) GROUP BY 1) GROUP BY 1")
 def spatial_filter(spark, d):
     p = _points(spark, d)
     return geo.containers(p, geo.outlines(p, "area").select("area", "outline"), "id", "outline", 0.05).groupBy("containers").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rebuild_unmatched_polygons_gdf")
+@query("rebuild_unmatched_polygons_gdf", _HULL + ", c AS (SELECT area AS polygon, own, count(*) AS n FROM i WHERE own IS NOT NULL GROUP BY 1, 2) SELECT polygon, arg_max(own, (n, own)) AS area, max(n) AS n FROM c GROUP BY 1")
 def rebuild_unmatched_polygons(spark, d):
-    p = _points(spark, d)
+    p = _points(spark, d).withColumn("area", F.upper("area"))
     hulls = geo.outlines(p, "area").select(F.col("area").alias("polygon"), "outline")
     return geo.majority_station(geo.points_in_polygons(p, hulls, "outline", 0.05), "polygon", "area")
 
@@ -86,10 +102,10 @@ def overlapping_boxes(spark, d):
     return geo.overlapping_boxes(geo.outlines(_points(spark, d).withColumn("area", F.upper("area")), "area"), "area", "outline", 0.1)
 
 
-@query("transform_polygons_as_lines")
+@query("transform_polygons_as_lines", _HULL + "SELECT area, round(sqrt((ax - bx) ^ 2 + (ay - bb) ^ 2), 9) AS length FROM e JOIN h USING (area) WHERE corners > 2 UNION ALL SELECT area, round(sqrt((ax - bx) ^ 2 + (ay - bb) ^ 2), 9) FROM e JOIN h USING (area) WHERE corners = 2 AND (ax, ay) < (bx, bb)")
 def transform_polygons_as_lines(spark, d):
     out = geo.outlines(_points(spark, d), "area").filter(F.size("outline") > 1)
-    return out.select("area", F.explode(geometry.edges(F.col("outline"))).alias("e")).select("area", F.round(geometry.distance(F.col("e.a"), F.col("e.b")), 9).alias("length"))
+    return out.select("area", F.explode(geometry.edges(F.col("outline"))).alias("e")).select(F.upper("area").alias("area"), F.round(geometry.distance(F.col("e.a"), F.col("e.b")), 9).alias("length"))
 
 
 @query("distance_to_box_edge", f"SELECT id, round(46.9 - y, 6) AS north, round(-121.0 - x, 6) AS east FROM ({_POINTS})")

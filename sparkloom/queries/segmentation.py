@@ -111,7 +111,11 @@ def customer_averages(spark, d):
     return df.groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.count(F.lit(1)).alias("n"), F.round(F.avg("l"), 4).alias("mean_lines"))
 
 
-@query("normalize_frequency")
+@query(
+    "normalize_frequency",
+    """SELECT customer_id, frequency FROM (SELECT *, ('0x' || substr(md5(customer_id || '|42'), 1, 8))::BIGINT / 4294967296.0 AS u FROM olist_train_data)
+    WHERE u < CASE WHEN frequency = 1 THEN 0.2 WHEN frequency = 2 THEN 0.5 WHEN frequency > 2 THEN 1.0 ELSE 0.0 END""",
+)
 def normalize_frequency(spark, d):
     return segment.stratified_by_frequency(load(spark, d, "olist_train_data"), "frequency", "customer_id", (0.2, 0.5, 1.0)).select("customer_id", "frequency")
 
