@@ -136,12 +136,40 @@ measured AS (
 )
 
 
+def _canonical_sql(field: str) -> tuple[str, str]:
+    """(text outside list items, sorted list items) of a field, for texts with the entities and closed list items of the test tables."""
+
+    def bare(text: str) -> str:
+        """RE2 looks neither back nor ahead: signs that do not count go first, points that count are marked (twice, as matches do not overlap)."""
+        out = f"regexp_replace({text}, '(^|[^\\p{{L}}+#])[+#]+', '\\1 ', 'g')"
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1·\\2', 'g')"
+        return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}+#·]+', '', 'g')"
+
+    text = f"replace({field}, '·', ' ')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    text = f"lower(nfc_normalize({text}))"
+    item = "(?s)<li>(.*?)</li>"
+    outside, inside = bare(f"regexp_replace({text}, '{item}', '<li>', 'g')"), bare("i")
+    return outside, f"list_sort([{inside} for i in regexp_extract_all({text}, '{item}', 1)])"
+
+
+_KEYS_SQL = """
+WITH fields AS (SELECT DISTINCT Id, {'rest': %s, 'items': %s} AS a, {'rest': %s, 'items': %s} AS b FROM questions WHERE Id IS NOT NULL AND Title IS NOT NULL AND Body IS NOT NULL),
+keys AS (SELECT Id, min({'x': least(a, b), 'y': greatest(a, b)}) AS k FROM fields GROUP BY Id),
+firsts AS (SELECT Id, min(Id) OVER (PARTITION BY k) AS rep FROM keys)
+""" % (*_canonical_sql("Title"), *_canonical_sql("Body"))
+
+
 def queries() -> dict[str, Query]:
     return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p5_leaves": p5_leaves, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": _KEYS_SQL + "SELECT rep AS id_a, Id AS id_b FROM firsts WHERE Id <> rep",
+        "p6_collapsed": _KEYS_SQL + "SELECT rep AS id, count(*)::BIGINT AS copies FROM firsts GROUP BY rep",
         "p2_found": "WITH " + _TAG_SQL + " SELECT tag, CASE WHEN n < 5 THEN 'rare' ELSE 'common' END AS mark FROM supports CROSS JOIN total WHERE n < 5 OR n > total * 0.1",
         "p2_frequencies": "WITH " + _TAG_SQL + " SELECT tag, count(*)::BIGINT AS occurrences, count(DISTINCT Id)::BIGINT AS records FROM tokens GROUP BY tag",
         "p4_found": _PAIR_SQL + " SELECT tag_a, tag_b FROM measured WHERE n >= 5 AND n * total >= 3 * n_a * n_b",
