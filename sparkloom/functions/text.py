@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.stemming import stem
+
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Short function words left out by default, by language.
@@ -135,26 +137,13 @@ def mean_length(tokens: Column) -> Column:
     return F.try_divide(F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a + F.length(t)).cast("double"), F.size(tokens))
 
 
-def stem(word: str) -> str:
-    """English suffix stripping: plural, past, gerund and adverb endings (a light stemmer of our own, not Snowball)."""
-    if len(word) <= 3:
-        return word
-    for suffix, other in (("sses", "ss"), ("ies", "y"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ingly", ""), ("edly", ""), ("ment", ""), ("ness", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", "")):
-        if word.endswith(suffix) and not word.endswith("ss") | (suffix == "s" and word.endswith(("us", "is"))):
-            base = word[: -len(suffix)] + other
-            if len(base) >= 3 and any(c in "aeiouy" for c in base):
-                if not other and suffix in ("ing", "ed", "ingly", "edly") and base[-1] == base[-2] and base[-1] not in "lsz":
-                    base = base[:-1]
-                return base
-    return word
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
 
 def stems(tokens: Column) -> Column:
+    """Porter2 stems of lower-case English tokens."""
     return _stem(tokens)
 
 

@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
+from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -80,32 +80,71 @@ def stability(df: DataFrame, k: int, seeds: Iterable[int] = range(5)) -> list[tu
     return sorted(((s, silhouette(kmeans(df, k, s)[1])) for s in seeds), key=lambda x: -x[1])
 
 
-def hierarchical(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> DataFrame:
-    """A cut of a hierarchy at scale: bisecting k-means with k leaves (exact Ward linkage is for small frames, see ward)."""
-    # the library's first split moves a centre by a share of its length, so centred data would never be split: distances do not change when all points are moved
-    moved = df.withColumn("_moved", array_to_vector(F.transform(vector_to_array(features), lambda x: x + 10.0))).persist()
-    return BisectingKMeans(k=k, seed=seed, featuresCol="_moved", predictionCol="cluster").fit(moved).transform(moved).drop("_moved")
+WARD_LIMIT = 5000
 
 
-def ward(points: np.ndarray, clusters: int) -> np.ndarray:
-    """Exact Ward linkage of a small array by nearest-neighbour merging, cut to so many clusters; labels by first row."""
+def ward(points: np.ndarray, clusters: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Exact Ward linkage of (weighted) points by the nearest-neighbour chain, cut to so many clusters; labels by first row.
+
+    Quadratic in time and linear in memory. ValueError above WARD_LIMIT points: see ``hierarchical``.
+    """
     n = len(points)
-    members = {i: [i] for i in range(n)}
-    centre = {i: points[i].astype(float) for i in range(n)}
-    while len(members) > clusters:
-        ids = list(members)
-        x = np.array([centre[i] for i in ids])
-        size = np.array([len(members[i]) for i in ids], float)
-        cost = ((x[:, None] - x[None]) ** 2).sum(-1) * (size[:, None] * size[None] / (size[:, None] + size[None]))
-        np.fill_diagonal(cost, np.inf)
-        a, b = (ids[i] for i in np.unravel_index(cost.argmin(), cost.shape))
-        centre[a] = (centre[a] * len(members[a]) + centre[b] * len(members[b])) / (len(members[a]) + len(members[b]))
-        members[a] += members.pop(b)
-        del centre[b]
-    out = np.empty(n, int)
-    for label, rows in enumerate(sorted(members.values(), key=min)):
-        out[rows] = label
-    return out
+    if n > WARD_LIMIT:
+        raise ValueError(f"more than {WARD_LIMIT} points")
+    centre, size = points.astype(float).copy(), np.ones(n) if weights is None else weights.astype(float).copy()
+    alive = np.ones(n, bool)
+    chain: list[int] = []
+    merges = []
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        top = chain[-1]
+        cost = ((centre - centre[top]) ** 2).sum(1) * (size * size[top] / (size + size[top]))
+        cost[~alive] = np.inf
+        cost[top] = np.inf
+        near = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
+            near = chain[-2]
+            merges.append((float(cost[near]), min(top, near), max(top, near)))
+            a, b = merges[-1][1:]
+            centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+            del chain[-2:]
+        else:
+            chain.append(near)
+    root = np.arange(n)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, a, b in sorted(merges)[: max(0, n - clusters)]:  # heights never fall along the hierarchy
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1] if n else np.zeros(0, int)
+
+
+def hierarchical(df: DataFrame, k: int, seed: int = 42, features: str = "features", leaves: int = 500) -> DataFrame:
+    """df with ``cluster``, a cut of a Ward hierarchy into k clusters, at any size.
+
+    Rows are first put into at most ``leaves`` small clusters by k-means; Ward linkage then joins these, weighted by their sizes, on the driver. With
+    no more distinct rows than leaves the small clusters are the rows themselves, and the hierarchy is exact.
+    """
+    arrays = df.withColumn("_x", vector_to_array(features))
+    distinct = arrays.groupBy("_x").agg(F.count(F.lit(1)).alias("n")).limit(leaves + 1).collect()
+    if len(distinct) <= leaves:
+        distinct = sorted((r._x, r.n) for r in distinct)
+        labels = ward(np.array([x for x, _ in distinct]), k, np.array([n for _, n in distinct])) if distinct else []
+        known = df.sparkSession.createDataFrame([(x, int(c)) for (x, _), c in zip(distinct, labels)], "_x array<double>, cluster int")
+        return arrays.join(known, "_x").drop("_x")
+    model = KMeans(k=leaves, seed=seed, maxIter=10, initSteps=1, featuresCol=features, predictionCol="_leaf").fit(df)
+    placed = model.transform(df)
+    sizes = {r._leaf: r.n for r in placed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per leaf
+    centres = model.clusterCenters()
+    labels = ward(np.array(centres), k, np.array([max(1, sizes.get(i, 0)) for i in range(len(centres))]))
+    return placed.withColumn("cluster", F.array(*[F.lit(int(c)) for c in labels])[F.col("_leaf")]).drop("_leaf")
 
 
 def pca(df: DataFrame, columns: list[str], k: int | None = None):

@@ -110,15 +110,16 @@ def mode_by(df: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
     return out
 
 
-def period_features(orders: DataFrame, customer: str, at: str, amount: str, scale: str, compat: bool = False) -> DataFrame:
+def period_features(orders: DataFrame, customer: str, at: str, amount: str, scale: str, compat: bool = False, periods: list[str] | None = None) -> DataFrame:
     """Per customer and period of ``scale`` (year, quarter, month): order count and payment sum, one column pair per period.
 
     compat gives each order row of a period's indicator the count of the customer's rows with the same indicator, so that
-    rows outside a period carry the count of the rows outside. The periods are collected first; they are few by nature.
+    rows outside a period carry the count of the rows outside. ``periods`` states the columns; else the periods in the data are collected
+    first, which are few by nature.
     """
     label = {"year": F.year(at).cast("string"), "quarter": F.concat(F.year(at).cast("string"), F.lit("Q"), F.quarter(at).cast("string")), "month": F.lower(F.date_format(F.col(at), "MMMM"))}[scale]
     rows = orders.filter(F.col(customer).isNotNull()).withColumn("_p", label)
-    periods = sorted(r._p for r in rows.select("_p").distinct().filter("_p is not null").collect())
+    periods = sorted(r._p for r in rows.select("_p").distinct().filter("_p is not null").collect()) if periods is None else periods
     if not compat:
         counts = [F.count(F.when(F.col("_p") == p, 1)).alias(f"{p}_count") for p in periods]
         sums = [F.round(F.coalesce(F.sum(F.when(F.col("_p") == p, F.col(amount))), F.lit(0.0)), 2).alias(f"{p}_sum") for p in periods]

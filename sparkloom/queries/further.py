@@ -12,7 +12,7 @@ from sparkloom.sources.archives import detect_delimiter
 
 query = Registry()
 
-#: Quarters of the orders of the test tables, for the SQL of a query whose columns are the quarters in the data.
+#: Quarters of the orders of the test tables, stated by the query whose columns they are and by its SQL.
 QUARTERS = [(y, q) for y in range(1995, 2002) for q in range(1, 5)]
 
 
@@ -160,7 +160,7 @@ def period_indicators_compat(spark, d):
 
 @query("decompose_by_quarter", "SELECT o_custkey, " + ", ".join(f"count(*) FILTER (year(o_orderdate) = {y} AND quarter(o_orderdate) = {q}) AS \"{y}Q{q}_count\", round(coalesce(sum(o_totalprice) FILTER (year(o_orderdate) = {y} AND quarter(o_orderdate) = {q}), 0), 2) AS \"{y}Q{q}_sum\"" for y, q in QUARTERS) + " FROM orders GROUP BY 1")
 def decompose_by_quarter(spark, d):
-    return segment.period_features(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "quarter")
+    return segment.period_features(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "quarter", periods=[f"{y}Q{q}" for y, q in QUARTERS])
 
 
 @query(

@@ -101,7 +101,7 @@ def mode_by_group(spark, d):
     "SELECT o_custkey, " + ", ".join(f"count(*) FILTER (year(o_orderdate) = {y}) AS \"{y}_count\", round(coalesce(sum(o_totalprice) FILTER (year(o_orderdate) = {y}), 0), 2) AS \"{y}_sum\"" for y in range(1995, 2002)) + " FROM orders GROUP BY 1",
 )
 def decompose_variable_by_time_scale(spark, d):
-    return segment.period_features(_orders(spark, d), "o_custkey", "o_orderdate", "o_totalprice", "year")
+    return segment.period_features(_orders(spark, d), "o_custkey", "o_orderdate", "o_totalprice", "year", periods=[str(y) for y in range(1995, 2002)])
 
 
 @query("customer_averages", "SELECT o_custkey, round(avg(o_totalprice), 4) AS mean_price, count(*) AS n, round(avg(l), 4) AS mean_lines FROM (SELECT o_custkey, o_totalprice, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS l FROM orders) GROUP BY 1")

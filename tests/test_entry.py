@@ -36,8 +36,6 @@ def _core_sql():
 def test_query_equals_its_sql(spark, name):
     from sparkloom import queries
 
-    if name.startswith("decompose_variable"):
-        pytest.skip("its columns are the years in the data, stated for sf0.01")
     con = duckdb.connect()
     for file in os.listdir(DATA):
         con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{file}'")
