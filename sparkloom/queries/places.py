@@ -48,7 +48,7 @@ i AS (SELECT p.id, p.area AS own, h.area FROM p CROSS JOIN h WHERE h.corners > 2
 """
 
 
-@query("transform_coordinates_to_geometry_for_each_place_uid", _HULL + "SELECT area, n AS points, CASE WHEN corners > 2 THEN corners ELSE 0 END::INT AS corners, CASE WHEN corners > 2 THEN round(size, 9) ELSE 0 END AS size FROM h JOIN (SELECT area, count(*) AS n FROM p GROUP BY 1) USING (area)")
+@query("transform_coordinates_to_geometry_for_each_place_uid", _HULL + "SELECT area, n AS points, CASE WHEN corners > 2 THEN corners ELSE 0 END::INT AS corners, CASE WHEN corners > 2 THEN round(size, 9) ELSE 0 END AS size FROM (SELECT area, count(*) AS n FROM p WHERE area IS NOT NULL GROUP BY 1) LEFT JOIN h USING (area)")
 def transform_coordinates_to_geometry(spark, d):
     out = geo.outlines(_points(spark, d), "area")
     solid = geometry.kind(F.col("outline")) == "POLYGON"
