@@ -24,7 +24,7 @@ def quantiles(df: DataFrame, key: str | Column, value: str | Column, probabiliti
     rows = df.select(key.alias("_k"), value.cast("double").alias("_x")).filter("_k is not null and _x is not null")
     counts = rows.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("_n"))
     cuts = counts.groupBy("_k").agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"))
-    placed = counts.join(cuts, "_k").select("_k", "_x", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_b"))
+    placed = _bucketed(counts.join(cuts, "_k"), buckets - 1)
     of_key = Window.partitionBy("_k")  # one row per bucket
     totals = placed.groupBy("_k", "_b").agg(F.sum("_n").alias("_m"))
     totals = totals.withColumn("_start", F.sum("_m").over(of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_m"))
@@ -47,6 +47,14 @@ def quantiles(df: DataFrame, key: str | Column, value: str | Column, probabiliti
     return out.select(F.col("_k").alias("key"), line.alias("q"))
 
 
+def _bucketed(df: DataFrame, n: int) -> DataFrame:
+    """_k, _x, _n and _b, the number of the n sorted cuts that are below _x: every sixteenth first, then the ones between."""
+    x, step = F.col("_x"), 16
+    coarse = sum((F.when(F.col("_cuts")[i] < x, step).otherwise(0) for i in range(step - 1, n, step)), F.lit(0))
+    fine = sum((F.when(F.get("_cuts", F.col("_s") + i) < x, 1).otherwise(0) for i in range(step - 1)), F.lit(0))  # beyond the last cut is null
+    return df.withColumn("_s", coarse).select("_k", "_x", "_n", (F.col("_s") + fine).alias("_b"))
+
+
 def columns_long(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """name, x: the values of several columns under each other, in one pass."""
     return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in columns.items()])).alias("_e")).select("_e.*")
