@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.likeness import Known, one_by_one
 from sparkloom.functions.scalars import strip_accents
-from sparkloom.functions.text import token_set_bounds, token_set_ratio
+from sparkloom.functions.text import token_set_ratio
 
 
 def merge_chain(base: DataFrame, steps: Iterable[tuple[DataFrame, str | list[str], str]]) -> DataFrame:
@@ -49,38 +50,39 @@ def street_key(column: Column) -> Column:
     return F.trim(F.regexp_replace(strip_accents(column, lower=True), r"[^0-9a-z]+", " "))
 
 
-def best_known(left: DataFrame, right: DataFrame, column: str, other: str, n: int = 5, scorer=token_set_ratio, block: int = 2_000, rows: int = 500) -> DataFrame:
-    """a, b, score, rank: the n best known texts of each distinct text, ties by text. Every known text is scored.
+def best_known(left: DataFrame, right: DataFrame, column: str, other: str, n: int = 5, scorer=token_set_ratio, block: int = 200_000, rows: int = 20_000) -> DataFrame:
+    """a, b, score, rank: the n best known texts of each distinct text, ties by text. Every known text is a candidate.
 
-    Both sides are packed into blocks of distinct texts (``rows`` of one, ``block`` of the other) that meet pairwise; a task
-    scores a pair of blocks and keeps n per text, so nothing but n rows per text and block is shuffled. For ``token_set_ratio``
-    the known texts of a block are taken by falling upper bound of their score until none can be among the n best; for any other
-    scorer there is no bound and all are scored. The work is the product of the two numbers of distinct texts either way.
+    Both sides are packed into blocks of distinct texts (``rows`` of one, ``block`` of the other, which is broadcast) that meet pairwise;
+    a task scores a pair of blocks and keeps n per text, so nothing but n rows per text and block is shuffled. ``token_set_ratio`` is searched
+    for in an index of the block (``likeness.Known``), which leaves out what cannot be among the n best; for any other scorer there is no
+    bound and all are scored. The work is the product of the two numbers of distinct texts either way.
     """
 
-    def packed(df: DataFrame, name: str, column: str, size: int) -> DataFrame:
+    def packed(df: DataFrame, name: str, column: str, size: int, spread: int = 1) -> tuple[DataFrame, int]:
         texts = df.select(F.col(column).alias("t")).distinct().filter("t is not null")
         count = texts.count()
-        return texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(max(1, -(-count // size)))).alias("_k")).agg(F.sort_array(F.collect_list("t")).alias(name)).drop("_k")
+        blocks = max(1, -(-count // size), min(spread, count // 128))  # fewer texts are not worth an index of their own
+        return texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(blocks)).alias(f"_{name}")).agg(F.sort_array(F.collect_list("t")).alias(name)), blocks
 
-    pairs = packed(left, "a", column, rows).crossJoin(packed(right, "b", other, block))
-    pairs = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = 2 * left.sparkSession.sparkContext.defaultParallelism
+    wanted, blocks = packed(left, "a", column, rows, spread)
+    known, _ = packed(right, "b", other, block)
+    pairs = wanted.repartition(blocks).crossJoin(F.broadcast(known)).select("a", "_b", "b")
 
-    bounded = scorer is token_set_ratio
+    indexed = scorer is token_set_ratio
 
     def run(batches):
+        last = index = None
         for batch in batches:
-            for texts, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = []
-                bounds = token_set_bounds(known) if bounded else None
-                for a in texts:
-                    most = bounds(a) if bounded else np.full(len(known), np.inf)
-                    best: list[tuple] = []
-                    for i in np.argsort(-most, kind="stable"):
-                        if len(best) == n and most[i] < -best[-1][0]:
-                            break  # no text from here on can be among the n best
-                        best = sorted([*best, (-scorer(a, known[i]), known[i])])[:n]
-                    out += [(a, b, -s) for s, b in best]
+            for texts, number, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if number != last:
+                    known = known.as_py()
+                    last, index = number, Known(known) if indexed else known
+                if indexed:
+                    out = index.best(texts, n)
+                else:
+                    out = (row for a in texts for row in one_by_one(a, index, np.full(len(index), np.inf), n, [], scorer))
                 columns = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], ["a", "b", "score"])
 
