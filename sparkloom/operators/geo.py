@@ -150,17 +150,40 @@ def split_by_key(df: DataFrame, key: str) -> dict[str, DataFrame]:
     return {"passed": df.filter(F.col(key).isNull()), "failed": df.filter(F.col(key).isNotNull())}
 
 
-def outlier_scores(df: DataFrame, key: str, cell: float, k: int = 5) -> DataFrame:
+def outlier_scores(df: DataFrame, key: str, cell: float, k: int = 5, levels: int = 16) -> DataFrame:
     """key, score: distance to the k-th nearest other point within a cell's reach (null, meaning far, where there are fewer).
 
-    Stands in for a density outlier score; the quantile to drop above is the caller's. Dense cells are compared pairwise within
-    the radius only.
+    Stands in for a density outlier score; the quantile to drop above is the caller's. Keys are unique. Points of one place
+    are compared once, with their number. Cells are halved again and again, and each place takes the smallest one around it that holds
+    more than k points: its k-th nearest is within the diagonal, so only the cells up to two away are compared. A place without such
+    a cell is compared within the radius.
     """
-    b = df.select(F.col(key).alias("_other"), "x", "y")
-    pairs = near_pairs(df, b, key, "_other", cell).filter(F.col(key) != F.col("_other"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "_other"))
-    kth = pairs.withColumn("_r", rank).filter(F.col("_r") == k).select(key, F.col("distance").alias("score"))
-    return df.join(kth, key, "left")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))  # NaN is above all
+    places = df.filter(F.col(key).isNotNull() & finite).groupBy((x + 0.0).alias("_x"), (y + 0.0).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def cells(level: Column) -> list[Column]:
+        return [F.floor(F.col(c) / (F.lit(cell) / F.pow(F.lit(2.0), level))) for c in ("_x", "_y")]
+
+    at = places.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    at = at.select("_x", "_y", "_n", "_l", *[c.alias(n) for c, n in zip(cells(F.col("_l")), ("_cx", "_cy"))])
+    full = at.filter("_l > 0").groupBy("_l", "_cx", "_cy").agg(F.sum("_n").alias("_m")).filter(F.col("_m") > k).drop("_m")
+    own = at.join(full, ["_l", "_cx", "_cy"]).groupBy("_x", "_y").agg(F.max("_l").alias("_l"))
+    own = places.join(own, ["_x", "_y"], "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
+
+    reach = F.when(F.col("_l") == 0, 1).otherwise(2)
+    asked = own.select("_x", "_y", "_n", "_l", *[c.alias(n) for c, n in zip(cells(F.col("_l")), ("_cx", "_cy"))])
+    asked = asked.withColumn("_cx", F.explode(F.sequence(F.col("_cx") - reach, F.col("_cx") + reach))).withColumn("_cy", F.explode(F.sequence(F.col("_cy") - reach, F.col("_cy") + reach)))
+    others = at.select("_l", "_cx", "_cy", F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_n").alias("_w"))
+    d = F.sqrt(F.pow(F.col("_x") - F.col("_u"), 2) + F.pow(F.col("_y") - F.col("_v"), 2))
+    pairs = asked.join(others, ["_l", "_cx", "_cy"]).withColumn("_d", d)
+    near = pairs.filter((F.col("_d") <= cell) & ((F.col("_l") == 0) | (F.col("_d") <= 1.5 * cell / F.pow(F.lit(2.0), F.col("_l")))))
+    # the place itself counts for the other points there
+    near = near.groupBy("_x", "_y", "_d").agg(F.sum("_w").alias("_w"))
+    upto = F.sum("_w").over(Window.partitionBy("_x", "_y").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kth = near.withColumn("_to", upto).filter(F.col("_to") > k).groupBy("_x", "_y").agg(F.min("_d").alias("score"))
+    scored = df.join(kth, F.col(key).isNotNull() & (x + 0.0 == F.col("_x")) & (y + 0.0 == F.col("_y")), "left")
+    return scored.drop("_x", "_y")
 
 
 def filter_outliers(df: DataFrame, key: str, cell: float, k: int = 5, quantile: float = 0.9) -> DataFrame:
