@@ -54,3 +54,14 @@ def test_many_candidates_in_time(spark):
     assert time.monotonic() - began < 60
     a = got[0].a
     assert [(r.b, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.a == a] == [(b, -s) for s, b in sorted((-token_set_ratio(a, b), b) for b in set(known))[:5]]
+
+
+def test_best_of_many_in_time(spark):
+    known = addresses(20_000)
+    right = spark.createDataFrame([(k,) for k in known], "t string")
+    left = spark.createDataFrame([(k.replace("ST", "St").replace("AVE", "Avenue"),) for k in known[:6_000]], "s string")
+    began = time.monotonic()
+    got = relate.fuzzy_matching(left, right, "s", "t").collect()
+    assert time.monotonic() - began < 60
+    for r in got[:3]:
+        assert (-r.score, r.b) == min((-token_set_ratio(r.a, b), b) for b in set(known))
