@@ -168,7 +168,8 @@ def outlier_scores(df: DataFrame, key: str, cell: float, k: int = 5, levels: int
     at = places.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     at = at.select("_x", "_y", "_n", "_l", *[c.alias(n) for c, n in zip(cells(F.col("_l")), ("_cx", "_cy"))])
     full = at.filter("_l > 0").groupBy("_l", "_cx", "_cy").agg(F.sum("_n").alias("_m")).filter(F.col("_m") > k).drop("_m")
-    own = at.join(full, ["_l", "_cx", "_cy"]).groupBy("_x", "_y").agg(F.max("_l").alias("_l"))
+    # no broadcasts: the planner does not know how many rows the exploded sides have
+    own = at.join(full.hint("merge"), ["_l", "_cx", "_cy"]).groupBy("_x", "_y").agg(F.max("_l").alias("_l"))
     own = places.join(own, ["_x", "_y"], "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
 
     reach = F.when(F.col("_l") == 0, 1).otherwise(2)
@@ -176,7 +177,7 @@ def outlier_scores(df: DataFrame, key: str, cell: float, k: int = 5, levels: int
     asked = asked.withColumn("_cx", F.explode(F.sequence(F.col("_cx") - reach, F.col("_cx") + reach))).withColumn("_cy", F.explode(F.sequence(F.col("_cy") - reach, F.col("_cy") + reach)))
     others = at.select("_l", "_cx", "_cy", F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_n").alias("_w"))
     d = F.sqrt(F.pow(F.col("_x") - F.col("_u"), 2) + F.pow(F.col("_y") - F.col("_v"), 2))
-    pairs = asked.join(others, ["_l", "_cx", "_cy"]).withColumn("_d", d)
+    pairs = asked.join(others.hint("merge"), ["_l", "_cx", "_cy"]).withColumn("_d", d)
     near = pairs.filter((F.col("_d") <= cell) & ((F.col("_l") == 0) | (F.col("_d") <= 1.5 * cell / F.pow(F.lit(2.0), F.col("_l")))))
     # the place itself counts for the other points there
     near = near.groupBy("_x", "_y", "_d").agg(F.sum("_w").alias("_w"))
