@@ -1,12 +1,13 @@
 """The best known texts by ``token_set_ratio``, exactly, over blocks of known texts held as arrays.
 
-Three steps, each over many pairs at once: letters in common (cheap, for every pair), the longest common subsequence, and the matching
-blocks that the score itself counts. A pair goes to the next step while its upper bound can still be among the n best.
+Three steps, each over many pairs at once: letters in common (only in cells of known texts with the same digits that can have enough of them), the
+longest common subsequence, and the matching blocks that the score itself counts. A pair goes to the next step while its upper bound can still be among the n best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -15,6 +16,7 @@ from sparkloom.functions.text import _word_set, token_set_bounds, token_set_rati
 SHORT = 60  # letters of a text as a word set; positions fit 6 bits, and longer texts are compared one by one
 CLASSES = 64  # letters counted apart; the rarer ones share
 FREQUENT = 6  # words that are no key of their own
+CELL = 64  # known texts that a cell holds at least, on average
 PAD_A, UNKNOWN, PAD_B, FIRST = 0, 1, 2, 3  # codes; the two pads and a letter that no known text has equal nothing
 
 #: SCORES[total, matched] is the score of so many matched letters of both texts together.
@@ -22,6 +24,9 @@ SCORES = np.rint(100 * (2.0 * np.arange(SHORT + 1)[None, :] / np.maximum(1, np.a
 #: NEED[total, score] is the least number of matched letters for that score; 255 where there is none.
 NEED = np.stack([np.where((s := np.searchsorted(row, np.arange(102))) <= SHORT, s, 255) for row in SCORES]).astype(np.uint8)
 
+#: REST[own, size] is the number of letters besides a cell's own in a text of that size; far below 0 where there is none.
+REST = np.array([[size - own if size >= own else -999 for size in range(SHORT + 1)] for own in range(SHORT + 1)])
+
 
 def matched(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, chunk: int = 8192) -> np.ndarray:
     """Letters in the matching blocks of each pair of rows of codes, as difflib's SequenceMatcher finds them (no junk).
@@ -60,6 +65,11 @@ def matched(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, chunk:
     return total
 
 
+def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, one after another."""
+    return np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
 class Known:
     """An index of known texts (sorted, distinct) for the n best of them by ``token_set_ratio``, ties by text."""
 
@@ -69,44 +79,81 @@ class Known:
         size = np.array([sum(map(len, s)) + max(0, len(s) - 1) for s in sets], np.int64)
         self.long = [known[i] for i in np.flatnonzero(size > SHORT)]
         self.all_bounds = self.long_bounds = None
-        self.rank = np.flatnonzero(size <= SHORT)
-        self.rank = self.rank[np.argsort(size[self.rank], kind="stable")]  # by length, then by text
+        rank = np.flatnonzero(size <= SHORT)
+        n = len(rank)
+
+        joined = [" ".join(sorted(sets[i])) for i in rank]
+        points, often = np.unique(np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        points = points[np.argsort(-often, kind="stable")]
+        self.code = np.full(0x110000, UNKNOWN, np.uint8 if len(points) < 256 - FIRST else np.uint16 if len(points) < 65536 - FIRST else np.uint32)
+        self.code[0] = PAD_A
+        self.code[points] = FIRST + np.arange(len(points))
+        self.codes = FIRST + len(points)
+        counts = np.zeros((min(CLASSES, max(1, len(points))), n), np.uint8)
+        rows = self.encode(joined)
+        for j in range(rows.shape[1]):
+            there = np.flatnonzero(rows[:, j] >= FIRST)
+            counts[self.letter_class(rows[there, j]), there] += 1
+
+        # cells of texts with the same counts of some letters, digits first; places go by length, cell and text
+        cell, self.keys = np.zeros(n, np.int64), []
+        for c in sorted(range(len(counts)), key=lambda c: (c >= len(points) or not chr(points[c]).isdigit(), c)) if n else []:
+            found, finer = np.unique(cell * (int(counts[c].max()) + 1) + counts[c], return_inverse=True)
+            if len(found) > max(4, n // CELL):
+                break
+            cell = finer
+            self.keys.append(c)
+        order = np.lexsort((rank, cell, size[rank]))
+        self.rank, self.counts, cell = rank[order], np.ascontiguousarray(counts[:, order]), cell[order]
         self.sets, self.size = [sets[i] for i in self.rank], size[self.rank]
+        self.by_place = np.ascontiguousarray(self.counts.T)
+        self.at_most = {m: np.minimum(self.counts, m) for m in (1, 2)}
         self.starts = np.searchsorted(self.size, np.arange(SHORT + 2))  # where each length begins
-        n = len(self.rank)
-
-        holders: dict[str, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            for w in s:
-                holders.setdefault(w, []).append(i)
-        common = sorted((w for w in holders if len(holders[w]) > max(50, n // 100)), key=lambda w: (-len(holders[w]), w))[:FREQUENT]
+        _, first = np.unique(cell, return_index=True)
+        self.cell_counts = {c: self.counts[c, first] for c in self.keys}
+        _, self.run_start, self.run_length = np.unique(self.size * len(first) + cell, return_index=True, return_counts=True)  # runs of one length and cell
+        self.run_cell, self.run_size = cell[self.run_start], self.size[self.run_start]
+        self.cell_letters = sum((self.cell_counts[c].astype(np.int64) for c in self.keys), np.zeros(len(first), np.int64))
+        self.run_rest = self.run_size - self.cell_letters[self.run_cell]
+        self.cell_runs = np.argsort(self.run_cell, kind="stable")  # runs by cell
+        self.runs_begin, self.runs_of = np.searchsorted(self.run_cell[self.cell_runs], np.arange(len(first))), np.bincount(self.run_cell, minlength=len(first))
+
+        self.word: dict[str, int] = {}
+        held = np.array([self.word.setdefault(w, len(self.word)) for s in self.sets for w in s], np.int64)
+        self.holders = np.repeat(np.arange(n), [len(s) for s in self.sets])[np.argsort(held, kind="stable")]  # by word, then by place
+        times = np.bincount(held, minlength=len(self.word))
+        self.ends = np.cumsum(times)
+        often = {w: int(times[i]) for w, i in self.word.items() if times[i] > max(50, n // 100)}
+        common = sorted(often, key=lambda w: (-often[w], w))[:FREQUENT]
         self.bit = {w: 1 << k for k, w in enumerate(common)}
+        self.joined = np.array([len(" ".join(w for w, bit in self.bit.items() if bit & sign)) for sign in range(1 << len(common))], np.int64)  # letters of the words of a sign
         signs = np.zeros(n, np.int64)
         for w, bit in self.bit.items():
-            signs[holders.pop(w)] |= bit
-        self.holders = {w: np.array(at) for w, at in holders.items()}
+            signs[self.holding(w)] |= bit
+            del self.word[w]
         self.signs, self.group = np.unique(signs, return_inverse=True)
         self.members = [np.flatnonzero(self.group == g) for g in range(len(self.signs))]
         self.place = np.zeros(n, np.int64)
         for m in self.members:
             self.place[m] = np.arange(len(m))
+        self.shortest = np.array([self.size[m].min() for m in self.members], np.int64)
+        frequent = frozenset(self.bit)
+        self.bare: dict[int, np.ndarray] = {}  # texts of frequent words only, by rank
+        for i in np.flatnonzero(signs)[np.argsort(self.rank[np.flatnonzero(signs)])]:
+            if self.sets[i] <= frequent:
+                self.bare.setdefault(int(signs[i]), []).append(i)
+        self.bare = {sign: np.array(at) for sign, at in self.bare.items()}
+
 
-        joined = [" ".join(sorted(s)) for s in self.sets]
-        points, often = np.unique(np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-        points = points[np.argsort(-often, kind="stable")]
-        self.code = np.full(0x110000, UNKNOWN, np.uint8 if len(points) < 256 - FIRST else np.uint16 if len(points) < 65536 - FIRST else np.uint32)
-        self.code[0] = PAD_A
-        self.code[points] = FIRST + np.arange(len(points))
-        self.codes = FIRST + len(points)
-        classes = np.zeros((min(CLASSES, max(1, len(points))), n), np.uint8)
-        rows = self.encode(joined)
-        for j in range(rows.shape[1]):
-            there = np.flatnonzero(rows[:, j] >= FIRST)
-            classes[self.letter_class(rows[there, j]), there] += 1
-        self.at_most = {m: np.minimum(classes, m) for m in (1, 2)}
-        self.counts = classes
         self.variants: dict[tuple[int, int], np.ndarray] = {}
+        self.asked: dict[tuple[int, int], int] = {}
         self.guess = -1
+        self.out = np.zeros(n, bool)
+
+    def holding(self, word: str) -> np.ndarray:
+        """Places of the texts that hold the word."""
+        i = self.word[word]
+        return self.holders[self.ends[i - 1] if i else 0 : self.ends[i]]
 
     def letter_class(self, codes: np.ndarray) -> np.ndarray:
         return (codes.astype(np.int64) - FIRST) % CLASSES
@@ -115,46 +162,113 @@ class Known:
         width = max(map(len, texts), default=0) or 1
         return self.code[np.array(texts, f"U{width}").view(np.uint32).reshape(len(texts), width)]
 
-    def variant(self, g: int, sign: int) -> np.ndarray:
-        """Codes, by position, of a group's texts with the frequent words of that sign at their start."""
-        if (g, sign) not in self.variants:
+    def variant(self, g: int, sign: int, at: np.ndarray) -> np.ndarray:
+        """Codes, by position, of a group's texts at the places with the frequent words of that sign at their start."""
+
+        def codes(places: np.ndarray) -> np.ndarray:
             first = frozenset(w for w, bit in self.bit.items() if bit & sign)
             start = " ".join(sorted(first))
-            self.variants[g, sign] = np.ascontiguousarray(self.encode([f"{start} {' '.join(sorted(self.sets[i] - first))}".strip() for i in self.members[g]]).T)
-        return self.variants[g, sign]
+            return np.ascontiguousarray(self.encode([f"{start} {' '.join(sorted(self.sets[i] - first))}".strip() for i in places]).T)
 
-    def shared_words(self, words: frozenset[str]) -> np.ndarray:
-        """Places of the known texts that share a word with the text that is no frequent one."""
-        found = [self.holders[w] for w in words if w in self.holders]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        if (g, sign) not in self.variants:
+            self.asked[g, sign] = self.asked.get((g, sign), 0) + len(at)
+            if self.asked[g, sign] < len(self.members[g]) // 4:  # not worth those of the whole group yet
+                return codes(at)
+            self.variants[g, sign] = codes(self.members[g])
+        return np.take(self.variants[g, sign], self.place[at], axis=1)
+
+    def shared_words(self, texts: list[_Text], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text the places and upper bounds of the known texts that share a word with it that is no frequent one.
+
+        Where one side is in the other, the score is 100, which the text gets here; with n of them it gets no other places.
+        """
+        found = [(k, len(w) + 1, self.holding(w)) for k, t in enumerate(texts) for w in t.words if w in self.word]
+        none = np.zeros(0, np.int64)
+        if not found:
+            return [(none, none)] * len(texts)
+        of, weight, at = zip(*found)
+        times, many = [len(x) for x in at], len(self.rank)
+        pair, which = np.unique(np.repeat(of, times) * many + np.concatenate(at), return_inverse=True)
+        of, at = np.divmod(pair, many)
+        sign, size = np.array([t.sign for t in texts])[of] & self.signs[self.group[at]], np.array([t.size for t in texts])[of]
+        # letters of the common words, joined
+        common = np.bincount(which, np.repeat(weight, times)).astype(np.int64) - 1 + self.joined[sign] + (sign > 0)
+        start = self.start_score(common, size, self.size[at])
+        whole = start == 100
+        rest = np.flatnonzero(~whole & (np.bincount(of[whole], minlength=len(texts)) < n)[of])
+        counts, bag = np.stack([t.counts for t in texts]), np.zeros(len(rest), np.int64)
+        for lo in range(0, len(rest), 65536):
+            i = rest[lo : lo + 65536]
+            bag[lo : lo + 65536] = np.minimum(self.by_place[at[i]], counts[of[i]]).sum(1)
+        bound = np.maximum(start[rest], SCORES[size[rest] + self.size[at[rest]], bag])
+        ends = [np.searchsorted(x, np.arange(1, len(texts))) for x in (of, of[whole], of[rest])]
+        for t, places, full in zip(texts, np.split(at, ends[0]), np.split(at[whole], ends[1])):
+            t.seen = np.concatenate([t.seen, places])
+            if len(full):
+                t.take(np.full(len(full), 100), self.rank[full])
+        return list(zip(np.split(at[rest], ends[2]), np.split(bound, ends[2])))
 
     def start_score(self, common: np.ndarray | int, la: int, lb: np.ndarray) -> np.ndarray:
         """The score of the common words, joined, against the shorter text; 100 where they are one side."""
         return np.rint(100 * (2.0 * common / np.maximum(1, common + np.minimum(la, lb)))).astype(np.int64)
 
+    def letters_in_common(self, text: _Text, at: np.ndarray | slice) -> np.ndarray:
+        out = np.zeros_like(self.counts[0][at])
+        for c, m in text.letters:
+            out += self.at_most[m][c][at] if m in self.at_most else np.minimum(self.counts[c][at], np.uint8(m))
+        return out
+
+    def with_letters(self, text: _Text, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the texts that have the letters in common which the score needs, and how many; only cells that can hold such are looked into."""
+        need = NEED[text.size : text.size + SHORT + 1, max(0, least)]
+        most, other = np.zeros(len(self.cell_letters), np.uint8), 0
+        for c, m in text.letters:
+            if c in self.cell_counts:
+                most += np.minimum(self.cell_counts[c], np.uint8(m))
+            else:
+                other += m
+        # least letters of the cell that must be had in common, by the number that the cell has
+        cells = np.flatnonzero(most >= (need - np.minimum(REST, other)).min(1)[self.cell_letters])
+        runs = self.cell_runs[ranges(self.runs_begin[cells], self.runs_of[cells])]
+        runs = runs[most[self.run_cell[runs]] + np.minimum(self.run_rest[runs], other) >= need[self.run_size[runs]]]
+        length = self.run_length[runs]
+        if length.sum() <= len(self.rank) // 16:
+            at = ranges(self.run_start[runs], length)
+            bag = self.letters_in_common(text, at)
+            keep = bag >= need[self.size[at]]
+            return at[keep], bag[keep]
+        lengths = np.arange(self.run_size[runs].min(), self.run_size[runs].max() + 1)
+        begin = self.starts[lengths[0]]
+        bag = self.letters_in_common(text, slice(begin, self.starts[lengths[-1] + 1]))
+        mask = np.zeros(len(bag), bool)
+        for k in lengths:
+            lo, hi = self.starts[k] - begin, self.starts[k + 1] - begin
+            if lo < hi and need[k] <= k:
+                np.greater_equal(bag[lo:hi], need[k], out=mask[lo:hi])
+        at = np.flatnonzero(mask)
+        return at + begin, bag[at]
+
     def search(self, text: _Text, least: int, before: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and upper bounds of the pairs, by frequent words alone, that may reach the score (at equality: come before that rank)."""
-        la, lo, hi = text.size, 0, len(self.rank)
-        bag = np.zeros(hi, np.uint8)
-        for c, m in text.letters:
-            bag += self.at_most[m][c] if m in self.at_most else np.minimum(self.counts[c], m)
-        mask = np.zeros(hi, bool)
-        for length in range(SHORT + 1):
-            lo, hi = self.starts[length], self.starts[length + 1]
-            need = NEED[la + length, max(0, least)]
-            if lo < hi and need <= min(la, length):
-                np.greater_equal(bag[lo:hi], need, out=mask[lo:hi])
-        starts = np.zeros(len(self.signs), np.int64)
+        la, (found, bag) = text.size, self.with_letters(text, least)
+        starts, more = np.zeros(len(self.signs), np.int64), []
         for g, sign in enumerate(self.signs & text.sign):
             if sign:
-                starts[g] = text.joined(int(sign), self)
-                if len(self.members[g]) and self.start_score(starts[g], la, self.size[self.members[g][0]]) >= least:  # the shortest of the group
+                starts[g] = self.joined[sign]
+                if self.start_score(starts[g], la, self.shortest[g]) >= least:
                     own = self.members[g]
-                    mask[own[self.start_score(starts[g], la, self.size[own]) >= least]] = True
-        mask[text.seen] = False
-        found = np.flatnonzero(mask)
+                    more.append(own[self.start_score(starts[g], la, self.size[own]) >= least])
+        if more:
+            more = np.setdiff1d(np.concatenate(more), found)
+            found, bag = np.concatenate([found, more]), np.concatenate([bag, self.letters_in_common(text, more)])
+        self.out[text.seen] = True
+        new = ~self.out[found]
+        self.out[text.seen] = False
+        found, bag = found[new], bag[new]
+        if not len(found):
+            return found, found
         start = self.start_score(starts[self.group[found]], la, self.size[found])
-        bound = np.maximum(start, SCORES[la + self.size[found], np.minimum(bag[found], np.minimum(la, self.size[found]))])
+        bound = np.maximum(start, SCORES[la + self.size[found], bag])
         keep = (bound > least) | (bound == least) & (self.rank[found] < before)
         found, start = found[keep], start[keep]
         bound = np.maximum(start, SCORES[la + self.size[found], self.subsequence(text, found)])
@@ -166,7 +280,7 @@ class Known:
         group = self.group[found]
         for g in np.unique(group):
             which, sign = np.flatnonzero(group == g), int(self.signs[g]) & text.sign
-            yield sign, which, text.codes_of(sign, self), np.take(self.variant(g, sign), self.place[found[which]], axis=1)
+            yield sign, which, text.codes_of(sign, self), self.variant(g, sign, found[which])
 
     def subsequence(self, text: _Text, found: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence of the text with each of the places, the common words first on either side."""
@@ -201,7 +315,7 @@ class Known:
                 for sign, which, mine, theirs in self.by_group(text, found):
                     left.append(np.broadcast_to(np.pad(mine, (0, SHORT + 1 - len(mine))), (len(which), SHORT + 1)))
                     right.append(np.pad(theirs.T, ((0, 0), (0, SHORT + 1 - len(theirs)))))
-                    start.append(np.full(len(which), text.joined(sign, self)))
+                    start.append(np.full(len(which), self.joined[sign]))
         if not left:
             return
         found = np.concatenate(wanted)
@@ -225,7 +339,7 @@ class Known:
         first = max(1, chunk // 8)  # the first few give a guess
         for at in (0, *range(first, len(texts), chunk)):
             upto = at + chunk if at else first
-            made, short = [_Text(a, n, self) for a in texts[at:upto]], []
+            made, short = [_Text(a, n) for a in texts[at:upto]], []
             for t in made:
                 if t.size > SHORT:
                     if self.all_bounds is None:
@@ -242,65 +356,72 @@ class Known:
                     self.long_bounds = token_set_bounds(self.long)
                 yield from one_by_one(t.text, self.long, self.long_bounds(t.text), n, best) if self.long else ((t.text, b, -s) for s, b in best)
 
+    def score_best(self, texts: list[_Text], found: list[tuple[np.ndarray, np.ndarray]], first: int, by_words: bool) -> None:
+        """Scores the places of the highest bounds, then those that can still be among the best."""
+        order = [np.argsort(-bound, kind="stable") for _, bound in found]
+        self.score_pairs(texts, [f[o[:first]] for (f, _), o in zip(found, order)], by_words)
+        rest = []
+        for t, (f, bound), o in zip(texts, found, order):
+            o = o[first:]
+            least, before = t.least()
+            rest.append(f[o[(bound[o] > least) | (bound[o] == least) & (self.rank[f[o]] < before)]])
+            t.seen = np.concatenate([t.seen, f])
+        self.score_pairs(texts, rest, by_words)
+
     def search_all(self, texts: list[_Text], n: int) -> None:
         if not texts or not len(self.rank):
             return
-        self.score_pairs(texts, [t.seen for t in texts], True)
+        rows = self.encode([t.whole for t in texts])
+        there = rows >= FIRST
+        counts = np.zeros((len(texts), len(self.counts)), np.uint8)
+        np.add.at(counts, (np.nonzero(there)[0], self.letter_class(rows[there])), 1)
+        for t, row in zip(texts, counts):
+            t.counts = row
+            t.sign = sum(bit for w, bit in self.bit.items() if w in t.words)
+            for sign, at in self.bare.items():
+                if sign & t.sign == sign:  # one side of the text
+                    t.take(np.full(len(at[:n]), 100), self.rank[at[:n]])
+                    t.seen = np.concatenate([t.seen, at])
+        self.score_best(texts, self.shared_words(texts, n), 2 * n, True)
+        # only where one side is in the other the score is 100; such are known by now, unless all words of the text are frequent
+        texts = [t for t in texts if t.least()[0] < 100 or t.words <= self.bit.keys()]
         # first as if the score were as high as it was before; where it is not, again with what was found
         tried = [max(t.least()[0], self.guess) for t in texts]
         for again in (False, True):
             todo = [(t, t.least() if again or x <= t.least()[0] else (x, len(self.known))) for t, x in zip(texts, tried) if not again or t.least()[0] < x]
-            found = [self.search(t, *least) for t, least in todo]
-            order = [np.argsort(-bound, kind="stable") for _, bound in found]
-            todo = [t for t, _ in todo]
-            self.score_pairs(todo, [f[o[: 4 * n]] for (f, _), o in zip(found, order)], False)
-            rest = []
-            for t, (f, bound), o in zip(todo, found, order):
-                o = o[4 * n :]
-                least, before = t.least()
-                rest.append(f[o[(bound[o] > least) | (bound[o] == least) & (self.rank[f[o]] < before)]])
-                t.seen = np.concatenate([t.seen, f])
-            self.score_pairs(todo, rest, False)
-        self.guess = int(np.quantile([t.least()[0] for t in texts], 0.1))
+            self.score_best([t for t, _ in todo], [self.search(t, *least) for t, least in todo], 4 * n, False)
+        if texts:
+            self.guess = int(np.quantile([t.least()[0] for t in texts], 0.1))
 
 
 class _Text:
     """A text that is looked for, with the n best so far."""
 
-    def __init__(self, text: str, n: int, index: Known):
+    def __init__(self, text: str, n: int):
         self.text, self.n, self.words = text, n, _word_set(text)
-        whole = " ".join(sorted(self.words))
-        self.size = len(whole)
+        self.whole = " ".join(sorted(self.words))
+        self.size = len(self.whole)
         self.scores, self.ranks = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts: dict = {}
-        if not 0 < self.size <= SHORT:
-            return
-        codes = index.encode([whole])[0]
-        letters, counts = np.unique(index.letter_class(codes[codes >= FIRST]), return_counts=True)
-        self.letters = list(zip(letters.tolist(), counts.tolist()))
-        self.sign = sum(index.bit.get(w, 0) for w in self.words)
-        self.seen = index.shared_words(self.words)  # places that were scored or ruled out
+        self.seen = np.zeros(0, np.int64)  # places that were scored or ruled out
+        self.counts, self.sign = np.zeros(0, np.uint8), 0  # of its letters, by class; of its frequent words
+
+    @cached_property
+    def letters(self) -> list[tuple[int, int]]:
+        return [(int(c), int(self.counts[c])) for c in np.flatnonzero(self.counts)]
 
     def with_start(self, common: frozenset[str], first: str) -> str:
         if common not in self.starts:
             self.starts[common] = f"{first} {' '.join(sorted(self.words - common))}".strip()
         return self.starts[common]
 
-    def _signed(self, sign: int, index: Known) -> tuple[int, np.ndarray]:
+    def codes_of(self, sign: int, index: Known) -> np.ndarray:
+        """Codes of the text with the frequent words of the sign first."""
         if sign not in self.starts:
             common = frozenset(w for w, bit in index.bit.items() if bit & sign)
-            first = " ".join(sorted(common))
-            self.starts[sign] = len(first), index.encode([self.with_start(common, first)])[0]
+            self.starts[sign] = index.encode([self.with_start(common, " ".join(sorted(common)))])[0]
         return self.starts[sign]
 
-    def joined(self, sign: int, index: Known) -> int:
-        """Letters of the frequent words of the sign, joined."""
-        return self._signed(sign, index)[0]
-
-    def codes_of(self, sign: int, index: Known) -> np.ndarray:
-        """Codes of the text with those words first."""
-        return self._signed(sign, index)[1]
-
     def take(self, scores: np.ndarray, ranks: np.ndarray) -> None:
         scores, ranks = np.concatenate([self.scores, scores]), np.concatenate([self.ranks, ranks])
         first = np.lexsort((ranks, -scores))[: self.n]

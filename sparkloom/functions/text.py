@@ -177,8 +177,11 @@ def _ratio(a: str, b: str) -> int:
     return round(100 * SequenceMatcher(None, a, b, autojunk=False).ratio()) if a or b else 0
 
 
+_BETWEEN_WORDS = regex.compile(r"[^\p{L}\p{N}]+")
+
+
 def _word_set(text: str) -> frozenset[str]:
-    return frozenset(regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split())
+    return frozenset(_BETWEEN_WORDS.sub(" ", text.lower()).split())
 
 
 def token_set_ratio(a: str | None, b: str | None) -> int:

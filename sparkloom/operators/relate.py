@@ -50,7 +50,7 @@ def street_key(column: Column) -> Column:
     return F.trim(F.regexp_replace(strip_accents(column, lower=True), r"[^0-9a-z]+", " "))
 
 
-def best_known(left: DataFrame, right: DataFrame, column: str, other: str, n: int = 5, scorer=token_set_ratio, block: int = 200_000, rows: int = 20_000) -> DataFrame:
+def best_known(left: DataFrame, right: DataFrame, column: str, other: str, n: int = 5, scorer=token_set_ratio, block: int = 200_000, rows: int = 40_000) -> DataFrame:
     """a, b, score, rank: the n best known texts of each distinct text, ties by text. Every known text is a candidate.
 
     Both sides are packed into blocks of distinct texts (``rows`` of one, ``block`` of the other, which is broadcast) that meet pairwise;
@@ -63,12 +63,13 @@ def best_known(left: DataFrame, right: DataFrame, column: str, other: str, n: in
         texts = df.select(F.col(column).alias("t")).distinct().filter("t is not null")
         count = texts.count()
         blocks = max(1, -(-count // size), min(spread, count // 128))  # fewer texts are not worth an index of their own
+        blocks = -(-blocks // spread) * spread if blocks > spread else blocks  # as many for each core
         return texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(blocks)).alias(f"_{name}")).agg(F.sort_array(F.collect_list("t")).alias(name)), blocks
 
-    spread = 2 * left.sparkSession.sparkContext.defaultParallelism
+    spread = left.sparkSession.sparkContext.defaultParallelism
     wanted, blocks = packed(left, "a", column, rows, spread)
     known, _ = packed(right, "b", other, block)
-    pairs = wanted.repartition(blocks).crossJoin(F.broadcast(known)).select("a", "_b", "b")
+    pairs = wanted.repartitionById(blocks, F.col("_a").cast("int")).crossJoin(F.broadcast(known)).select("a", "_b", "b")
 
     indexed = scorer is token_set_ratio
 

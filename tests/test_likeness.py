@@ -8,6 +8,8 @@ import time
 import numpy as np
 import pytest
 
+from pyspark import TaskContext
+
 from sparkloom.functions.likeness import Known, matched
 from sparkloom.functions.text import token_set_ratio
 from sparkloom.operators import relate
@@ -65,3 +67,30 @@ def test_best_of_many_in_time(spark):
     assert time.monotonic() - began < 60
     for r in got[:3]:
         assert (-r.score, r.b) == min((-token_set_ratio(r.a, b), b) for b in set(known))
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_best_known_addresses(n):
+    rnd = random.Random(n)
+    known = sorted({*addresses(3_000), "AVE", "Ave N", "ave n", "St.", "N", "12", "12 34", "-"})
+    texts = [*(k.replace("AVE", "Avenue").replace("ST", "St") for k in rnd.sample(known, 60)), "n ave", "Way", "12 34 56", "9999 Nowhere", "ave n 12"]
+    got: dict[str, list] = {}
+    for a, b, score in Known(known).best(sorted(set(texts)), n, chunk=16):
+        got.setdefault(a, []).append((-score, b))
+    assert got == {a: sorted((-token_set_ratio(a, b), b) for b in known)[:n] for a in texts}
+
+
+def test_texts_are_spread_evenly_over_tasks(spark):
+    left = spark.createDataFrame([(f"t{i}",) for i in range(8_000)], "s string")
+    right = spark.createDataFrame([("k",)], "t string")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the blocks come from one partition here, and go round the tasks evenly by chance
+    try:
+        got = relate.fuzzy_matching(left, right, "s", "t", 0, scorer=lambda a, b: TaskContext.get().partitionId()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    held: dict[int, int] = {}
+    for r in got:
+        held[r.score] = held.get(r.score, 0) + 1
+    assert max(held.values()) < 1.3 * 8_000 / len(held)
+    assert len(held) % spark.sparkContext.defaultParallelism == 0
