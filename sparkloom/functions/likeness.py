@@ -1,6 +1,6 @@
 """The best known texts by ``token_set_ratio``, exactly, over blocks of known texts held as arrays.
 
-Three steps, each over many pairs at once: letters in common (only in cells of known texts with the same digits that can have enough of them), the
+Three steps, each over many pairs at once: letters in common (where few are near, only in cells of known texts whose digits agree enough), the
 longest common subsequence, and the matching blocks that the score itself counts. A pair goes to the next step while its upper bound can still be among the n best.
 """
 
@@ -115,6 +115,7 @@ class Known:
         self.run_cell, self.run_size = cell[self.run_start], self.size[self.run_start]
         self.cell_letters = sum((self.cell_counts[c].astype(np.int64) for c in self.keys), np.zeros(len(first), np.int64))
         self.run_rest = self.run_size - self.cell_letters[self.run_cell]
+        self.cell_size = np.bincount(cell, minlength=len(first))
         self.cell_runs = np.argsort(self.run_cell, kind="stable")  # runs by cell
         self.runs_begin, self.runs_of = np.searchsorted(self.run_cell[self.cell_runs], np.arange(len(first))), np.bincount(self.run_cell, minlength=len(first))
 
@@ -219,7 +220,10 @@ class Known:
         return out
 
     def with_letters(self, text: _Text, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the texts that have the letters in common which the score needs, and how many; only cells that can hold such are looked into."""
+        """Places not seen yet of the texts that have the letters in common which the score needs, and how many.
+
+        Only cells that can hold such are looked into, unless these hold much of the index.
+        """
         need = NEED[text.size : text.size + SHORT + 1, max(0, least)]
         most, other = np.zeros(len(self.cell_letters), np.uint8), 0
         for c, m in text.letters:
@@ -229,27 +233,25 @@ class Known:
                 other += m
         # least letters of the cell that must be had in common, by the number that the cell has
         cells = np.flatnonzero(most >= (need - np.minimum(REST, other)).min(1)[self.cell_letters])
-        runs = self.cell_runs[ranges(self.runs_begin[cells], self.runs_of[cells])]
-        runs = runs[most[self.run_cell[runs]] + np.minimum(self.run_rest[runs], other) >= need[self.run_size[runs]]]
-        length = self.run_length[runs]
-        if length.sum() <= len(self.rank) // 16:
-            at = ranges(self.run_start[runs], length)
+        if self.cell_size[cells].sum() <= len(self.rank) // 8:
+            runs = self.cell_runs[ranges(self.runs_begin[cells], self.runs_of[cells])]
+            runs = runs[most[self.run_cell[runs]] + np.minimum(self.run_rest[runs], other) >= need[self.run_size[runs]]]
+            at = ranges(self.run_start[runs], self.run_length[runs])
             bag = self.letters_in_common(text, at)
-            keep = bag >= need[self.size[at]]
+            keep = (bag >= need[self.size[at]]) & ~self.out[at]
             return at[keep], bag[keep]
-        lengths = np.arange(self.run_size[runs].min(), self.run_size[runs].max() + 1)
-        begin = self.starts[lengths[0]]
-        bag = self.letters_in_common(text, slice(begin, self.starts[lengths[-1] + 1]))
-        mask = np.zeros(len(bag), bool)
-        for k in lengths:
-            lo, hi = self.starts[k] - begin, self.starts[k + 1] - begin
-            if lo < hi and need[k] <= k:
-                np.greater_equal(bag[lo:hi], need[k], out=mask[lo:hi])
+        bag, mask = self.letters_in_common(text, slice(None)), np.zeros(len(self.rank), bool)
+        for length in range(SHORT + 1):
+            lo, hi = self.starts[length], self.starts[length + 1]
+            if lo < hi and need[length] <= min(text.size, length):
+                np.greater_equal(bag[lo:hi], need[length], out=mask[lo:hi])
+        mask[text.seen] = False
         at = np.flatnonzero(mask)
-        return at + begin, bag[at]
+        return at, bag[at]
 
     def search(self, text: _Text, least: int, before: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and upper bounds of the pairs, by frequent words alone, that may reach the score (at equality: come before that rank)."""
+        self.out[text.seen] = True
         la, (found, bag) = text.size, self.with_letters(text, least)
         starts, more = np.zeros(len(self.signs), np.int64), []
         for g, sign in enumerate(self.signs & text.sign):
@@ -259,12 +261,10 @@ class Known:
                     own = self.members[g]
                     more.append(own[self.start_score(starts[g], la, self.size[own]) >= least])
         if more:
-            more = np.setdiff1d(np.concatenate(more), found)
+            more = np.concatenate(more)
+            more = np.setdiff1d(more[~self.out[more]], found)
             found, bag = np.concatenate([found, more]), np.concatenate([bag, self.letters_in_common(text, more)])
-        self.out[text.seen] = True
-        new = ~self.out[found]
         self.out[text.seen] = False
-        found, bag = found[new], bag[new]
         if not len(found):
             return found, found
         start = self.start_score(starts[self.group[found]], la, self.size[found])
